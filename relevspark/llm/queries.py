@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from relevspark.runtime import read_table as t
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from relevspark.llm.transcripts import speaker_turns
+
+    return speaker_turns(t(spark, d, "passages"), t(spark, d, "speakers")).select("doc_id", "turn_no", "speaker_id")
+
+
+def p1_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns with their cleaned text."""
+    from relevspark.llm.transcripts import speaker_turns
+
+    return speaker_turns(t(spark, d, "passages"), t(spark, d, "speakers"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from relevspark.llm.encode import encode
 
@@ -22,6 +35,8 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_turns": p1_turns,
     "p6_ids": p6_ids,
     "p7_fill": p7_fill,
 }
