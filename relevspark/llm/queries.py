@@ -22,6 +22,12 @@ def p1_turns(spark: SparkSession, d: str) -> DataFrame:
     return speaker_turns(t(spark, d, "passages"), t(spark, d, "speakers"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from relevspark.llm.pairs import broken_pairs
+
+    return broken_pairs(t(spark, d, "wild_conversations"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from relevspark.llm.encode import encode
 
@@ -37,6 +43,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_turns": p1_turns,
+    "p2_found": p2_found,
     "p6_ids": p6_ids,
     "p7_fill": p7_fill,
 }
