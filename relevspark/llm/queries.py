@@ -28,6 +28,33 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_pairs(t(spark, d, "wild_conversations"))
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    from relevspark.llm.conversation import records
+
+    return records(t(spark, d, "documents"), t(spark, d, "wild_conversations"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from relevspark.llm import toxic
+
+    keys = ["tbl", "rec_id"]
+    return toxic.flagged(toxic.score(_records(spark, d), keys), keys)
+
+
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and offending offsets of every record."""
+    from relevspark.llm import toxic
+
+    return toxic.score(_records(spark, d), ["tbl", "rec_id"])
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of flagged documents per source."""
+    from relevspark.llm import toxic
+
+    return toxic.rates(toxic.score(t(spark, d, "documents"), ["doc_id", "source"]))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from relevspark.llm.encode import encode
 
@@ -44,6 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_turns": p1_turns,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_scores": p3_scores,
+    "p3_rates": p3_rates,
     "p6_ids": p6_ids,
     "p7_fill": p7_fill,
 }
