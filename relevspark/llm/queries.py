@@ -55,6 +55,23 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxic.rates(toxic.score(t(spark, d, "documents"), ["doc_id", "source"]))
 
 
+def _redacted(spark: SparkSession, d: str) -> DataFrame:
+    from relevspark.llm.pii import redact
+
+    return redact(_records(spark, d), t(spark, d, "name_parts"), ["tbl", "rec_id"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from relevspark.llm.pii import occurrences
+
+    return occurrences(_redacted(spark, d), ["tbl", "rec_id"])
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with placeholders, and the places of what was replaced."""
+    return _redacted(spark, d)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from relevspark.llm.encode import encode
 
@@ -74,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_scores": p3_scores,
     "p3_rates": p3_rates,
+    "p5_found": p5_found,
+    "p5_masked": p5_masked,
     "p6_ids": p6_ids,
     "p7_fill": p7_fill,
 }
