@@ -55,6 +55,19 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxic.rates(toxic.score(t(spark, d, "documents"), ["doc_id", "source"]))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from relevspark.llm import neardup
+
+    return neardup.all_pairs(*neardup.near_duplicates(_records(spark, d)))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its class of copies, its group and its number of links."""
+    from relevspark.llm import neardup
+
+    return neardup.groups(*neardup.near_duplicates(_records(spark, d)))
+
+
 def _redacted(spark: SparkSession, d: str) -> DataFrame:
     from relevspark.llm.pii import redact
 
@@ -91,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_scores": p3_scores,
     "p3_rates": p3_rates,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_masked": p5_masked,
     "p6_ids": p6_ids,
