@@ -97,6 +97,19 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill(t(spark, d, "documents"), t(spark, d, "containers"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from relevspark.llm.stuffing import page_scores
+
+    return page_scores(t(spark, d, "documents")).where("stuffed").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Words, links and tags, salad and mean information of every page."""
+    from relevspark.llm.stuffing import page_scores
+
+    return page_scores(t(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_turns": p1_turns,
@@ -110,5 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_masked": p5_masked,
     "p6_ids": p6_ids,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
 }
 ORACLE_SQL: dict[str, str] = {}
