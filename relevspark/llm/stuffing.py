@@ -166,7 +166,7 @@ def page_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     pages = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chars = pages.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    dealt = pages.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    dealt = pages.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def count(group: pa.Table) -> pa.Table:
         keys, n = count_block(group.column("text").to_pylist(), _Words())
@@ -174,7 +174,7 @@ def page_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     counted = dealt.groupBy("block").applyInArrow(count, "block int, key bigint, n bigint")
     # a key has one row a block; what occurs once in the corpus occurs nowhere else and need not travel back
-    sums = counted.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total > 1").select("block", "key", "total")
+    sums = counted.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total > 1").select("block", "key", "total").repartition(blocks, "block")
 
     def score(group: pa.Table, sums_: pa.Table) -> pa.Table:
         ids = group.column("id")
