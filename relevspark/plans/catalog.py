@@ -1,4 +1,4 @@
-"""Registry of the engine's queries."""
+"""Registry of the engine's queries and their SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relevspark.plans import collection_queries, retrieval_queries
+from relevspark.plans.tables import Tables
+
+
+def _on_folder(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return f(Tables(spark, d))
+
+    run.__name__ = f.__name__
+    run.__doc__ = f.__doc__
+    return run
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    both = collection_queries.QUERIES | retrieval_queries.QUERIES
+    return {name: _on_folder(f) for name, f in both.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return collection_queries.SQL | retrieval_queries.SQL
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
-    raise NotImplementedError
+    """BM25 ranking of the documents for every query."""
+    return retrieval_queries.bm25_lucene_top100(Tables(spark, d))
