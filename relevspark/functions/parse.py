@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Patterns of a speaker's label at the start of a line, one family each; the family with most hits holds.
@@ -110,16 +111,27 @@ def text_nodes(html: str | None) -> str | None:
     return "".join(p.parts)
 
 
-@F.pandas_udf("string")
-def strip_html(html: pd.Series) -> pd.Series:
+def _udf(f, kind: str, c: str | Column) -> Column:
+    """A function of a series as a column; made when it is used, as parsing its type needs a session."""
+    return F.pandas_udf(f, kind)(F.col(c) if isinstance(c, str) else c)
+
+
+def strip_html(c: str | Column) -> Column:
     """All text nodes of a page, entities decoded, comments and declarations dropped."""
-    return html.map(text_nodes, na_action="ignore")
 
+    def run(html: pd.Series) -> pd.Series:
+        return html.map(text_nodes, na_action="ignore")
+
+    return _udf(run, "string", c)
 
-@F.pandas_udf("title string, text string, author string, links array<struct<href: string, name: string, text: string, heading: string>>")
-def parse_page(html: pd.Series) -> pd.DataFrame:
+
+def parse_page(c: str | Column) -> Column:
     """Title, main text (of ``article`` or ``main`` if there is one), meta author and links of a page."""
-    return pd.DataFrame([page(h) for h in html], columns=["title", "text", "author", "links"])
+
+    def run(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page(h) for h in html], columns=["title", "text", "author", "links"])
+
+    return _udf(run, "title string, text string, author string, links array<struct<href: string, name: string, text: string, heading: string>>", c)
 
 
 def turns_of(text: str | None) -> list[dict]:
@@ -137,10 +149,13 @@ def turns_of(text: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<pos: int, speaker: string, text: string>>")
-def speaker_turns(text: pd.Series) -> pd.Series:
+def speaker_turns(c: str | Column) -> Column:
     """Turns between the labels of the family with most hits; without a label one turn of UNKNOWN; empty turns are dropped."""
-    return text.map(turns_of)
+
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(turns_of)
+
+    return _udf(run, "array<struct<pos: int, speaker: string, text: string>>", c)
 
 
 def first_object(reply: str | None) -> str | None:
@@ -157,9 +172,13 @@ def first_object(reply: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def balanced_object(reply: pd.Series) -> pd.Series:
-    return reply.map(first_object, na_action="ignore")
+def balanced_object(c: str | Column) -> Column:
+    """The first balanced ``{...}`` of a reply, null if there is none."""
+
+    def run(reply: pd.Series) -> pd.Series:
+        return reply.map(first_object, na_action="ignore")
+
+    return _udf(run, "string", c)
 
 
 def archive_links(links: str = "links", pattern: str = r"-(\d{8})/?$", base: str = ""):
