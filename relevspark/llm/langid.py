@@ -45,10 +45,12 @@ _SCRIPTS = [(k, re.compile(v)) for k, v in SCRIPTS]
 
 def language(text: str | None) -> str | None:
     """The language of most of ``text``, or None if there is too little to tell."""
-    if not text:
-        return None
-    words = _WORD.findall(text.lower())
-    if _OTHER.search(text):
+    return language_of(text, _WORD.findall(text.lower())) if text else None
+
+
+def language_of(text: str, words: list[str]) -> str | None:
+    """The same for a text whose lower-case words are known."""
+    if not text.isascii() and _OTHER.search(text):
         letters = sum(map(len, words)) or 1
         for k, p in _SCRIPTS:
             # signs of ideographic scripts hold about as much as two letters
@@ -56,8 +58,8 @@ def language(text: str | None) -> str | None:
             if n >= 0.5 * letters and n > 3:
                 return k
     scores: dict[str, float] = {}
-    for w, n in Counter(words).items():
-        for k, share in _SPEAKS.get(w, ()):
+    for w, n in Counter(filter(_SPEAKS.__contains__, words)).items():
+        for k, share in _SPEAKS[w]:
             scores[k] = scores.get(k, 0.0) + share * n
     if not scores:
         return None

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relevspark.llm import conversation as C
-from relevspark.llm.langid import asks_for, language
+from relevspark.llm.langid import asks_for, language_of
 
 # Sentences that decline; * stands for some words.
 REFUSALS = """
@@ -155,7 +155,8 @@ el los las una unos unas del al y o u pero que quien cuando donde para por sobre
 der die das den dem des ein eine einen einem einer eines und oder aber dass wenn weil als ob mit ohne für auf an im zu zum zur von vom bei beim nach über unter ist sind war wird werden hat haben nicht sein seine ihr ihre""".split())
 _TOKEN = re.compile(r"[㐀-鿿぀-ヿ]|[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?。！？\n]+")
-_MAY_REFUSE = re.compile(r"(?i)can(?:no|')?t\b|can not|won't|unable|not able|refus|declin|rather not|prefer not|comfortable|guideline|policy|permit|allowed|have to pass|fall(?:s)? outside|no comment|ne peux pas|m'interdi|ne pas répondre|autoris|rechaz|no puedo|no me permit|niego|prefiero no|ablehn|kann ich|ich kann|darf ich|ich darf|lieber nicht|non posso|não posso|не могу|отказ")
+#: Every template of a refusal has one of these words (after "can" and "won", a "t").
+_REFUSING = set("cannot unable able refuse decline declining rather prefer comfortable guidelines policy permit permitted allow allowed pass outside comment not peux interdisent interdit autorisé refuser refuse décliner préfère rechazar puedo permiten autorizado niego prefiero ablehnen kann darf möchte posso могу вынужден".split())
 _FRAME = set("you asked your question here is was the prompt again sure repeat repeating said original as i my answer quote user wrote asks to votre vous avez demandé voici su pregunta usted preguntó sie fragten ihre frage lautet hier ist re echo text input".split())
 _ECHO = re.compile(r"(?i)\b(?:repeat|echo|copy|return only|reply only|output only|say exactly|write exactly|verbatim|proofread|correct|fix the|spell(?:ing)?|répét|recopi|corrig|wiederhol|korrigier|repit|repet)")
 
@@ -199,9 +200,9 @@ _COURTESIES = [_Template(x) for x in COURTESIES]
 _REFUSAL_WORDS = {w for t in _REFUSALS for w in t.words}
 
 
-def declines(answer: str) -> bool:
-    """Whether the answer aligns with refusal templates and gives nothing besides."""
-    if not _MAY_REFUSE.search(answer):
+def declines(answer: str, words: set[str]) -> bool:
+    """Whether the answer, whose words are known, aligns with refusal templates and gives nothing besides."""
+    if _REFUSING.isdisjoint(words) and not ("t" in words and ("can" in words or "won" in words or "don" in words)):
         return False
     refused, help_words = 0, 0
     for s in _SENTENCE.findall(answer):
@@ -217,11 +218,11 @@ def declines(answer: str) -> bool:
     return refused > 0
 
 
-def copies(prompt: list[str], answer: list[str], asked_echo: bool = False) -> bool:
+def copies(prompt: list[str], answer: list[str], in_answer: set[str], text: str = "") -> bool:
     """Whether ``answer`` is ``prompt`` again, perhaps framed, repeated or slightly changed, and nothing more."""
     if len(prompt) < 2 or not answer:
         return False
-    in_prompt, in_answer = set(prompt), set(answer)
+    in_prompt = set(prompt)
     if len(in_prompt & in_answer) < 0.6 * len(in_prompt):
         return False
     new = sum(w not in in_prompt and w not in _FRAME for w in answer)
@@ -231,12 +232,12 @@ def copies(prompt: list[str], answer: list[str], asked_echo: bool = False) -> bo
     both = len(p & a)
     if len(prompt) >= 8 and (both < 0.3 * len(p) or both < 0.3 * len(a)):
         return False
-    return lcs(prompt, answer) >= (0.9 if asked_echo else 0.75) * len(prompt)
+    return lcs(prompt, answer) >= (0.9 if _ECHO.search(text) else 0.75) * len(prompt)
 
 
 _LIST = re.compile(r"^\s*(?:[-*•+]|\d+[.)]|[a-z][.)])\s")
 _STUB = re.compile(r"^\s*(?:[-*•+]|\d+[.)])\s*$")
-_DONE = re.compile(r"""(?:[.!?。！？…:"'”’»)\]}>*_~`]|https?://\S+|www\.\S+|[^\w\s,;(\[{<\-–—/&+=\\#@|])$""")
+_DONE = re.compile(r"""[.!?。！？…:"'”’»)\]}>*_~`]|[^\w\s,;(\[{<\-–—/&+=\\#@|]""")
 
 
 def breaks_off(answer: str) -> bool:
@@ -251,14 +252,16 @@ def breaks_off(answer: str) -> bool:
         return False
     if _STUB.match(last) or last.count("**") % 2 or last.count("`") % 2:
         return True
-    if re.search(r"(?:https?://|www\.)\S+$", last):
+    if last[-1] in ".!?。！？…":
+        return False
+    if re.search(r"https?://|www\.", last.rsplit(None, 1)[-1]):
         return False
     if last[-1] in ",;([{<–—/&+=\\" or (last[-1] == "-" and len(last) > 1):
         return True
     tail = re.split(r"(?<=[.!?。！？])\s+", last)[-1]
     if tail.count("(") > tail.count(")") or tail.count("[") > tail.count("]"):
-        return tail[-1] not in ".!?"
-    if _DONE.search(last):
+        return True
+    if _DONE.match(last[-1]):
         return False
     words = _TOKEN.findall(tail.lower())
     if not words:
@@ -283,8 +286,10 @@ _MARKS = re.compile(r"[\W_]+")
 
 def absent(answer: str | None) -> bool:
     """Whether nothing is in the answer but blanks, marks or a stand-in for an absent answer."""
-    if not answer or len(answer) > 400 and re.search(r"\w", answer):
-        return not answer
+    if not answer:
+        return True
+    if len(answer) > 60 and re.search(r"\w", answer):
+        return False
     bare = _MARKS.sub(" ", answer).strip().lower()
     if bare in ABSENT or answer.strip().strip("[](){}<>*_\"'`").strip(" .").lower() in ABSENT:
         # a sign with a meaning of its own, such as an emoji, is an answer
@@ -296,14 +301,15 @@ def defect(prompt: str | None, answer: str | None) -> str | None:
     """The defect of one pair, or None.  ``answer`` None means that there is no answer."""
     if absent(answer):
         return "empty"
-    if declines(answer):
-        return "refusal"
     p = prompt or ""
     pw, aw = tokens(p), tokens(answer)
-    if copies(pw, aw, bool(_ECHO.search(p))):
+    held = set(aw)
+    if declines(answer, held):
+        return "refusal"
+    if copies(pw, aw, held, p):
         return "copy"
-    spoken = language(answer)
-    if spoken and p and (asked := language(p)) and asked != spoken and not asks_for(p, spoken):
+    spoken = language_of(answer, aw)
+    if spoken and p and (asked := language_of(p, pw)) and asked != spoken and not asks_for(p, spoken):
         return "language"
     return "truncated" if breaks_off(answer) else None
 
