@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relevspark.llm.langid import FUNCTION_WORDS
+
 KINDS = ("email", "phone", "idnum", "address", "name")
 ACCEPT = 0.5
 #: Most rows of the table of name parts that are sent to the executors; a larger table is an error, not cut.
@@ -69,7 +71,7 @@ def iban(text: str) -> bool:
 _ID_WORDS = re.compile(r"(?i)\b(?:ssn|social security|socials?|tax (?:id|number|no)|tin\b|itin|ein\b|passport|passeport|pasaporte|reisepass|passnummer|licen[cs]e|permis|carnet|führerschein|ausweis\w*|steuer\w*|identi\w*|national id|id card|id number|id no|id:|dni|nie\b|nif|nino|national insurance|sécurité sociale|seguridad social|sozialversicherung\w*|número de|cpf|personal number|personnummer|carte d'identité|cédula|mrz|паспорт|снилс)")
 _PHONE_WORDS = re.compile(r"(?i)\b(?:call|phone|fax|tel|tél|teléfono|téléphone|telefon|mobile|cell|ring|text|reach|number|número|numéro|nummer|llám\w*|rufen|appel\w*|whatsapp|sms|dial|handy|móvil|contact|ext)\b")
 _OTHER_WORDS = re.compile(r"(?i)\b(?:order|pedido|commande|bestellung|isbn|issn|version|sku|invoice|tracking|budget line|line|serial|model|part no|item|article|years?|doi|page|section|chapter|build|port|ip|hash|seed|ticket|case no|flight)\b[^.!?\n]{0,12}$")
-_NAME_WORDS = re.compile(r"(?i)(?:\bname(?: is|:)|\bname ist|me llamo|m'appelle|\bich heiße|\bpatient,?|\btenant:?|\bask for|\bcc:|\bsigned,?|\bfirmado:?|\bsigné:?|\bgez\.|\bneighbou?r|\bvecin[ao]|\bvoisine?|\bnachbar(?:in)?|\bcontact:?|\battn:?|\bdear|\bcaller:?|\bclient:?|\bcustomer:?|\bemployee:?|\bflat with|\bfrom:|\bto:|mieter(?:in)?:?|inquilin[ao]:?|locataire:?|kind regards,?|regards,?|sincerely,?)\s*$")
+_NAME_WORDS = re.compile(r"(?i)(?:\bname(?: is| ?:)|\bname ist|me llamo|m'appelle|\bich heiße|\bpatient,?|\btenant:?|\bask for|\bcc:|\bsigned,?|\bfirmado:?|\bsigné:?|\bgez\.|\bneighbou?r|\bvecin[ao]|\bvoisine?|\bnachbar(?:in)?|\bcontact:?|\battn:?|\bdear|\bcaller:?|\bclient:?|\bcustomer:?|\bemployee:?|\bflat with|\bfrom:|\bto:|mieter(?:in)?:?|inquilin[ao]:?|locataire:?|kind regards,?|regards,?|sincerely,?)\s?:?\s*$")
 
 # -- emails -----------------------------------------------------------------------------------------------------------------
 _EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+'-]*[A-Za-z0-9_+-])?\s?@\s?(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])|[A-Za-z0-9](?:[A-Za-z0-9._%+'-]*[A-Za-z0-9_+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}")
@@ -217,9 +219,9 @@ def _plausible(s: str) -> bool:
 
 # -- names ------------------------------------------------------------------------------------------------------------------------
 #: Common given names of several languages, besides those of the table of name parts.
-GIVEN = set("""Anna Andrea Andreas Alexander Amelie Antonio Albert Alfred Barbara Benjamin Bernd Brian Carla Carlos Carmen Carol Catherine Charles Charlotte Chloe Christian Christine Claire Clara Claude Claudia Daniel David Dennis Dieter Dmitri Dorothy Edgar Edward Elisabeth Elizabeth Ella Emil Emily Emma Eric Erik Ernst Esther Eva Francis Francois Frank Franz Fred Friedrich Gabriel George Georg Gerard Gloria Greta Hannah Hans Harold Heidi Heinz Henri Henry Herbert Ida Ines Ingrid Ivan Jack Jacob Jacques James Jan Jane Janet Jean Jennifer Jessica Joan Johanna John Jorge Jose Joseph Juan Juergen Julian Karen Karin Karl Katharina Kevin Klaus Lars Lena Leo Leon Linda Lisa Louis Louise Lucas Lucia Luis Luke Manuel Margaret Margarita Marie Mario Mark Martha Martin Mary Matthew Max Maya Michael Michel Miguel Monika Nathan Natalia Nicolas Nikolai Olaf Oliver Otto Patricia Patrick Pedro Philip Pierre Rachel Ralf Rafael Raul Rebecca Renate Richard Robert Roger Roland Sandra Sarah Sergei Silvia Stefan Stephen Steven Susan Sven Sylvia Teresa Tim Tom Ursula Valentina Victor Viktor Vincent Werner William Wolfgang""".split())
+GIVEN = set("""Adam Albert Alexander Alfred Alice Andrea Andreas Anna Antonio Barbara Beatriz Benjamin Brian Bruno Carla Carlos Carmen Carol Catherine Charles Charlotte Chloe Christian Christine Claire Clara Claude Claudia Colette Daniel David Dennis Diana Doris Dorothy Edgar Edward Elena Elisabeth Elizabeth Ella Emil Emily Emma Eric Erik Ernst Felix Fiona Francis Frank Franz Fred Gabriel Georg George Greta Gustav Hannah Hans Heidi Helen Henri Henry Hugo Irene Isabel Ivan Jack Jacob James Jan Jane Janet Jean Jennifer Jessica Joan John Jonas Jorge Jose Joseph Juan Judith Julia Julian Karen Karin Karl Kevin Klaus Kurt Laura Lena Leo Leon Linda Lisa Louis Louise Lucas Luis Luke Manuel Marc Margaret Maria Marie Mario Mark Marta Martha Martin Mary Matthew Max Maya Michael Michel Miguel Natalia Nathan Nicolas Nikolai Nina Noah Nora Olga Oliver Oscar Otto Pablo Patricia Patrick Paul Paula Pedro Peter Philip Pierre Rachel Rebecca Richard Robert Roger Rosa Ruben Samuel Sandra Sara Sarah Silvia Simon Sofia Stefan Stephen Steven Susan Sylvia Teresa Theo Thomas Tim Tom Ursula Valentina Vera Victor Vincent Walter William Yvonne""".split())
 #: Titles and other capitalised words that are no given name.
-_NOT_GIVEN = set("mr mrs ms miss dr prof professor senator representative commissioner chairman chairwoman chair chairperson congressman the a an and or but if when while senators president minister secretary judge captain general sir lady lord saint st mount lake port north south east west new old san los las el la le les der die das señor señora herr frau monsieur madame don doña".split())
+_NOT_GIVEN = set("mr mrs ms miss dr prof professor senator representative commissioner chairman chairwoman chair chairperson congressman the a an and or but if when while senators president minister secretary judge captain general sir lady lord saint st mount lake port north south east west new old san los las el la le les der die das señor señora herr frau monsieur madame don doña dear thanks hello hi question answer witness member ranking vice chairmen sra srta mme mlle".split()) | set(" ".join(FUNCTION_WORDS.values()).split())
 _CAP = r"[A-ZÀ-Þ][\w'’]*(?:-[A-ZÀ-Þa-z][\w'’]*)*"
 _PAIR = re.compile(rf"(?<![\w@.+-])({_CAP})(?=(,[ ]|[ ](?:[A-ZÀ-Þ]\.?[ ]){{0,2}})({_CAP})(?:([ ])([A-ZÀ-Þ])\.)?)")
 
@@ -272,7 +274,8 @@ def names(text: str, known: Names) -> Iterator[Span]:
         a, between, b = m.group(1), m.group(2), m.group(3)
         end = m.end() + len(between) + len(b)
         if between == ", ":
-            if known.like_family(a) and known.is_given(b):
+            said = _NAME_WORDS.search(text[max(0, m.start() - 24) : m.start()])
+            if known.like_family(a) and (known.is_given(b) or (said and b.lower() not in _NOT_GIVEN and len(b) > 2)):
                 if m.group(4):
                     end += 3
                 yield Span("name", m.start(), end, 0.85)
@@ -284,8 +287,12 @@ def names(text: str, known: Names) -> Iterator[Span]:
                 score = 0.9
             elif b.lower() not in _NOT_GIVEN and not b.isupper() and _NAME_WORDS.search(text[max(0, m.start() - 24) : m.start()]):
                 score = 0.6
-        elif known.like_family(b) and a.lower() not in _NOT_GIVEN and _NAME_WORDS.search(text[max(0, m.start() - 24) : m.start()]):
-            score = 0.6
+        elif known.like_family(b) and len(a) > 2 and a.lower() not in _NOT_GIVEN and a.isupper() == b.isupper():
+            # the lists are not complete: an unlisted word before a family name, if it is no plain word
+            if _NAME_WORDS.search(text[max(0, m.start() - 24) : m.start()]):
+                score = 0.6
+            elif not a.isupper() or (m.start() == 0 or text[m.start() - 1] == "\n") and text[end : end + 1] in ("", "\n"):
+                score = 0.5
         if score >= ACCEPT:
             yield Span("name", m.start(), end, score)
             done = end

@@ -42,7 +42,8 @@ def test_checksums():
         ("Adresse : 18 avenue des Moulins, 42870 Rosholm", [("address", "18 avenue des Moulins, 42870 Rosholm")]),
         ("Section 97 of the Lane Road bill; Room 475 of the annex; the ferry to Rose Harbor.", []),
         ("Tenant: Nora J. Barfold and Garman, Paul; Dr. Barfold; Nora said no; Nora-Paul Garmanson", [("name", "Nora J. Barfold"), ("name", "Garman, Paul"), ("name", "Nora-Paul Garmanson")]),
-        ("Please ask for Ingrid Smith at the desk", [("name", "Ingrid Smith")]),
+        ("Please ask for Emma Smith at the desk", [("name", "Emma Smith")]),
+        ("Tenant: Xanthe Barfold. Then Barfold said no. OFTEN A GARDEN, MANY GARMANS. Signé : Garman, Xeno", [("name", "Xanthe Barfold"), ("name", "Garman, Xeno")]),
         ("Representative Paul Barfold: yes. nora.barfold@x.example", [("name", "Paul Barfold"), ("email", "nora.barfold@x.example")]),
         ("", []), (None, []),
     ],
