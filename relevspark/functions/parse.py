@@ -6,7 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Patterns of a speaker's label at the start of a line, one family each; the family with most hits holds.
@@ -186,3 +186,17 @@ def archive_links(links: str = "links", pattern: str = r"-(\d{8})/?$", base: str
     dated = F.filter(F.col(links), lambda x: F.regexp_like(x["href"], F.lit(pattern)))
     full = F.transform(dated, lambda x: F.struct(F.when(F.startswith(x["href"], F.lit("http")), x["href"]).otherwise(F.concat(F.lit(base.rstrip("/")), x["href"])).alias("href"), F.coalesce(F.nullif(F.trim(x["text"]), F.lit("")), x["heading"]).alias("text")))
     return F.filter(full, lambda x, i: F.array_position(F.transform(full, lambda y: y["href"]), x["href"]) == i + 1)
+
+
+def carry_author(links: DataFrame, page: str = "page", pos: str = "pos") -> DataFrame:
+    """``links`` with ``author``: an anchor named ``Last_First`` holds for the links after it, up to the next such anchor of the page."""
+    name = F.regexp_extract("name", r"^([^_]+)_([^_]+)$", 2)
+    here = F.when(name != "", F.concat(name, F.lit(" "), F.regexp_extract("name", r"^([^_]+)_([^_]+)$", 1)))
+    w = Window.partitionBy(page).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return links.withColumn("author", F.last(here, ignorenulls=True).over(w))
+
+
+def byline(c: str | Column) -> Column:
+    """The name after ``By`` at the start of a line, null if there is none."""
+    found = F.regexp_extract(F.col(c) if isinstance(c, str) else c, r"(?m)^\s*By\s+([A-Z][\w'’.-]+(?:\s+[A-Z][\w'’.-]+){0,3})", 1)
+    return F.nullif(found, F.lit(""))

@@ -191,7 +191,8 @@ LONG = "long as (" + " union all ".join(f"select qid, '{n}' as metric, {n} as va
 
 
 def _rounded(df):
-    return df.select(*(F.round(c, 5).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+    """Doubles at 5 digits; the small addend keeps halves, which come up in means of rounded values, from falling either way."""
+    return df.select(*(F.round(F.col(c) + 1e-9, 5).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
 
 
 def metrics_mean(t: Tables):
@@ -203,7 +204,7 @@ def metrics_by_theme(t: Tables):
     return _rounded(M.means(M.long_form(metrics_per_query(t)).join(theme, "qid"), ["theme"]))
 
 
-STATS = "count(*) as n, round(avg(value), 5) as mean, round(median(value), 5) as median, round(stddev_pop(value), 5) as std"
+STATS = "count(*) as n, round(avg(value) + 1e-9, 5) as mean, round(median(value) + 1e-9, 5) as median, round(stddev_pop(value) + 1e-9, 5) as std"
 
 
 def best_rank_histogram(t: Tables):

@@ -103,3 +103,17 @@ def missing_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """``<key>, side`` of the keys that only one of two tables has."""
     left = a.select(key).distinct().join(b.select(key), key, "left_anti").withColumn("side", F.lit("left_only"))
     return left.unionByName(b.select(key).distinct().join(a.select(key), key, "left_anti").withColumn("side", F.lit("right_only")))
+
+
+def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
+    """Rows of sources with different columns, with ``source``; columns that a source lacks are null."""
+    out = None
+    for name, df in sources.items():
+        part = df.withColumn("source", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def by_number(df: DataFrame, id_col: str) -> DataFrame:
+    """Rows in the order of the numbers that their ids are; ids that are no numbers follow in order of text."""
+    return df.orderBy(F.expr(f"try_cast(`{id_col}` as bigint)").asc_nulls_last(), F.col(id_col).asc())
