@@ -25,6 +25,18 @@ HESITATIONS = r"u+[hm]+|e+r+m?|a+h+|h+m+|m+h?m+|o+h+|uh-huh|mm-hmm"
 #: Digits and signs that character recognition leaves in names.
 SEEN_AS = str.maketrans({"1": "l", "0": "o", "5": "s", "|": "l", "3": "e", "8": "b", "6": "b", "!": "l"})
 
+
+
+def notes(stop: str, depth: int = 6) -> str:
+    """Rules of annotations nested up to ``depth``; what is nested deeper is text.  ``stop`` are characters that no annotation holds."""
+    flat = r"~\*[^*\n]{1,60}\*~ / ~<[^<>\n]{1,60}>~ / ~♪[^♪\n]*♪~"
+    rules = [r"_n0 <- ~(?!)~"]
+    for k in range(1, depth + 1):
+        kinds = (f'"{a}" (_n{k - 1} / ~[^{re.escape(a + b)}{stop}]+~)* "{b}"' for a, b in ("[]", "()", "{}"))
+        rules.append(f"_n{k} <- " + " / ".join(kinds))
+    return "\n".join([*rules, f"note <- _n{depth} / {flat}"])
+
+
 #: Grammar of a transcript by lines, in three house styles.
 LINES = Grammar(
     r"""
@@ -40,7 +52,7 @@ plain_label <- label ~[ ]*(?::|[ ]*[-–—]+)(?=\s|$)~
 label <- ~(?:\(?[^\W_](?:[\w'’.,()]|-(?=\w))*[ ]?){1,7}(?<![ ,])(?=[ ]*(?::|[ ][-–—]))~
 dotted <- ~(?:(?:mr|mrs|ms|miss|dr|prof|sen|rep|comm|[^\W\d_])\.[ ])*[^\W_][^.:\n]{1,58}?(?:[ ](?:[^\W\d_])\.[ ][^.:\n]{1,40}?)?(?=[ ]*(?:\.|:|[ ][-–—])(?:\s|$))~
 remark <- _newpara ~[ \t]*~ (note / clock)+ ~[ \t]*(?=\n|$)\n*~
-note <- "[" (note / ~[^\[\]\n]~)* "]" / "(" (note / ~[^()\n]~)* ")" / "{" (note / ~[^{}\n]~)* "}" / ~\*[^*\n]{1,60}\*~ / ~<[^<>\n]{1,60}>~ / ~♪[^♪\n]*♪~
+NOTES_IN_LINES
 _clocks <- (clock _gap)*
 clock <- ranged / ~[\[(]~ (hms / dotted_time) ~[\])]~
 ranged <- time ~[ ]*-->[ ]*~ time
@@ -51,7 +63,7 @@ _newpara <- ~(?<![^\n]\n)(?<=\n)|(?<![\s\S])|(?<=\n)(?=[ ]{2,}|\t)~
 _gap <- ~\s*~
 _sp <- ~[ \t]*~
 speech <- ~[^\n]*(?:\n(?![\n \t>\[({\d*♪<])[^\n]*)*\n*~
-""",
+""".replace("NOTES_IN_LINES", notes("\\n")),
     re.I,
 )
 
@@ -59,11 +71,11 @@ speech <- ~[^\n]*(?:\n(?![\n \t>\[({\d*♪<])[^\n]*)*\n*~
 INSIDE = Grammar(
     r"""
 inside <- (clock / note / hesitation / plain)*
-note <- "[" (note / ~[^\[\]]~)* "]" / "(" (note / ~[^()]~)* ")" / ~\*[^*\n]{1,60}\*~ / ~<[^<>\n]{1,60}>~ / ~♪[^♪\n]*♪?~
+NOTES_INSIDE
 clock <- ~[\[(]\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d+)?[\])]|[\[(](?:\d+h)?\d+m(?:\d+s)?[\])]|\d\d:\d\d:\d\d[.,]\d{3}[ ]*-->[ ]*\d\d:\d\d:\d\d[.,]\d{3}~
 hesitation <- ~(?<![\w'’-])(?:HESITATION)(?![\w'’]|-\w)(?:[ ]?[,.]|-+)?|(?<=[ ,])(?:you[ ]know|I[ ]mean),(?=[ ])~
 plain <- @~[\[(*<♪]|\d\d:\d\d:\d\d[.,]\d{3}|(?<![\w'’-])(?:HESITATION)(?![\w'’]|-\w)|(?<=[ ,])(?:you[ ]know|I[ ]mean),(?=[ ])~ / ~[\s\S]~
-""".replace("HESITATION", HESITATIONS),
+""".replace("HESITATION", HESITATIONS).replace("NOTES_INSIDE", notes("")),
     re.I,
 )
 _SIMPLE = re.compile(r"[\[(*<♪]|-->|\b(?:" + HESITATIONS + r")\b|\b(?:you know|I mean),", re.I)

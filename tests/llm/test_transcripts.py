@@ -55,6 +55,12 @@ def test_clean():
     assert T.seconds("[1h02m03s]") == T.seconds("01:02:03.000 --> 01:02:09.000") == T.seconds("(62:03)") == 3723
 
 
+def test_hostile_nesting():
+    deep = "[" * 5000 + "x" + "]" * 5000
+    assert said(f"Velmont: words {deep} end\n\n{'(' * 3000}\n\nEllsley: yes") == [(1, 3), (2, 4)]
+    assert T.clean("a [laughter (very (loud [in the hall]))] b") == "a b"
+
+
 def test_speaker_turns(spark):
     people = spark.createDataFrame(PEOPLE, "speaker_id bigint, hearing_id string, full_name string, honorific string, office string, home string")
     day = dt.datetime
