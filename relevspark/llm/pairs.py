@@ -166,7 +166,12 @@ def tokens(text: str | None) -> list[str]:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
+    """Length of the longest common subsequence, by bit-parallel rows; what both begin and end with needs none."""
+    n = min(len(a), len(b))
+    start = next((k for k in range(n) if a[k] != b[k]), n)
+    end = next((k for k in range(n - start) if a[-1 - k] != b[-1 - k]), n - start)
+    if start or end:
+        return start + end + lcs(a[start : len(a) - end], b[start : len(b) - end])
     places: dict[str, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | (1 << i)

@@ -46,6 +46,11 @@ def test_lcs_against_brute_force():
         assert P.lcs(a, b) == row[-1]
 
 
+def test_long_copy():
+    words = " ".join(f"w{k % 977}" for k in range(200_000))
+    assert P.defect(words, words + " extra") == "copy"
+
+
 def test_language():
     assert language("Der Motor in Lorford steht neben der Bank und ist nicht neu") == "de"
     assert language("12, 14") is None and language(None) is None
