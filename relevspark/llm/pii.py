@@ -6,6 +6,7 @@ versions) lower it.  Proposals of at least ``ACCEPT`` hold, longer and surer one
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -305,11 +306,15 @@ def find(text: str | None, known: Names) -> list[Span]:
         return []
     proposals = [*emails(text), *numbers(text), *addresses(text), *names(text, known)]
     if len(proposals) > 1:
+        # kept spans do not overlap, so only the neighbours of a place can stand in the way
+        starts: list[int] = []
         kept: list[Span] = []
         for s in sorted(proposals, key=lambda s: (-(s.kind == "email"), -(s.kind == "address"), -s.score, s.start - s.end, s.start)):
-            if all(s.end <= k.start or s.start >= k.end for k in kept):
-                kept.append(s)
-        proposals = sorted(kept, key=lambda s: s.start)
+            k = bisect.bisect_right(starts, s.start)
+            if (k == 0 or kept[k - 1].end <= s.start) and (k == len(kept) or kept[k].start >= s.end):
+                starts.insert(k, s.start)
+                kept.insert(k, s)
+        proposals = kept
     return proposals
 
 

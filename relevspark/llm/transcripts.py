@@ -49,7 +49,7 @@ plain_turn <- _newpara _clocks ~[ \t]*~ plain_label _sp _clocks
 caption_label <- label ~[ ]*(?::|\.|[ ][-–—]+)(?=\s|$)~
 indented_label <- dotted ~[ ]*(?:\.|:|[ ][-–—]+)(?=\s|$)~
 plain_label <- label ~[ ]*(?::|[ ]*[-–—]+)(?=\s|$)~
-label <- ~(?:\(?[^\W_](?:[\w'’.,()]|-(?=\w))*[ ]?){1,7}(?<![ ,])(?=[ ]*(?::|[ ][-–—]))~
+label <- ~\(?[^\W_](?:[\w'’.,()]|-(?=\w)){0,40}(?:[ ]\(?[^\W_](?:[\w'’.,()]|-(?=\w)){0,40}){0,6}(?<![ ,])(?=[ ]*(?::|[ ][-–—]))~
 dotted <- ~(?:(?:mr|mrs|ms|miss|dr|prof|sen|rep|comm|[^\W\d_])\.[ ])*[^\W_][^.:\n]{1,58}?(?:[ ](?:[^\W\d_])\.[ ][^.:\n]{1,40}?)?(?=[ ]*(?:\.|:|[ ][-–—])(?:\s|$))~
 remark <- _newpara ~[ \t]*~ (note / clock)+ ~[ \t]*(?=\n|$)\n*~
 NOTES_IN_LINES
@@ -236,7 +236,7 @@ def style_of(text: str) -> str:
 
 def utterances(text: str, people: Roster) -> list[tuple[tuple, str, float | None]]:
     """``(ids, raw text, clock)`` of what stands under each label, in the order of the text."""
-    text = re.sub(r"[ \t]+\n", "\n", text.replace("\r\n", "\n").replace("\r", "\n"))
+    text = re.sub(r"(?<![ \t])[ \t]+\n", "\n", text.replace("\r\n", "\n").replace("\r", "\n"))
     tree = LINES.parse(text, style_of(text), whole=False)
     found: list[list] = []
     current = None
