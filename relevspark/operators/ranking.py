@@ -57,8 +57,12 @@ def stratified_sample(df: DataFrame, strata: list[str], id_col: str, size: int,
 
     This is a sampling operator; the share of a stratum is rounded half to even.
     """
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    w = Window.partitionBy(*strata)
-    with_n = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(shuffle_key(id_col, seed=seed), F.col(id_col))))
+    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("_total"))
     quota = F.greatest(F.lit(1), F.bround(F.col("_n") / F.col("_total") * size, 0).cast("bigint"))
-    return with_n.crossJoin(F.broadcast(total)).where(F.col("_r") <= quota).drop("_n", "_r", "_total")
+    quotas = sizes.crossJoin(F.broadcast(total)).select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)), quota.alias("_quota"))
+    order = F.row_number().over(Window.partitionBy(*strata).orderBy(shuffle_key(id_col, seed=seed), F.col(id_col)))
+    # no quota exceeds ``size``, so every partition keeps at most so many rows of a stratum before the shuffle
+    first = df.withColumn("_r", order).where(F.col("_r") <= max(1, size))
+    same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)]
+    return first.join(quotas, same).where("_r <= _quota").select(*df.columns)
