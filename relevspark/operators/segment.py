@@ -76,7 +76,7 @@ def snippets(df: DataFrame, id_col: str, text_col: str, least: int = 200, most:
     def step(acc, p):
         n = T.word_count(p)
         full = (acc["n"] > 0) & (acc["n"] + n > most)
-        keep = full & (acc["n"] >= least)
+        keep = full & acc["n"].between(least, most)
         return F.struct(F.when(keep, F.concat(acc["done"], F.array(F.array_join(acc["cur"], "\n\n")))).otherwise(acc["done"]).alias("done"), F.when(full, F.array(p)).otherwise(F.concat(acc["cur"], F.array(p))).alias("cur"), F.when(full, n).otherwise(acc["n"] + n).alias("n"))
 
     packed = F.aggregate(paragraphs, empty, step, lambda a: F.when((a["n"] >= least) & (a["n"] <= most), F.concat(a["done"], F.array(F.array_join(a["cur"], "\n\n")))).otherwise(a["done"]))

@@ -347,10 +347,24 @@ SQL = {
     "hearings_in_range": "select hearing_id, congress from hearings where regexp_extract(hearing_id, '^CHRG-(\\d+)', 1)::int between 112 and 116",
     "framed_queries": "select qid, 'Instruct: retrieve' || chr(10) || 'Query: Find what shares the move of: <<' || query_text || '>> and nothing else' as framed, trim(query_text) as unframed from queries",
     "tokenize_ascii": f"select did, len(t) as n_tokens, len(list_distinct(t)) as n_terms, md5(array_to_string(t, ' ')) as digest from (select doc_id as did, {tok('text')} as t from documents)",
+    "tokenize_word": "select did, len(t) as n_tokens, md5(array_to_string(t, ' ')) as digest from (select doc_id as did, list_filter(regexp_extract_all(lower(replace(coalesce(text, ''), 'İ', 'i̇')), '[\\p{L}\\p{Nl}\\p{M}\\p{Nd}\\p{Pc}\\x{200C}\\x{200D}]{2,}'), lambda w: w not in (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")) as t from documents)",
     "term_frequencies": f"select term, count(*) as df from (select unnest(list_distinct({tok('text')})) as term from documents) group by term",
     "word_count_buckets": f"select case when n < 100 then '<100' when n < 200 then '100-200' when n < 500 then '200-500' else '500+' end as bucket, count(*) as n from (select len({words_sql('text')}) as n from passages) group by 1",
     "conversation_format": _conversation(10_000),
     "conversation_truncated": _conversation(400),
+    "passage_split": f"""with recursive d as (select doc_id, text, len({words_sql('text')}) as n from documents where text is not null),
+s as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda w: trim(w) <> '') as s from d where n > 1000),
+w as (select doc_id, s, list_transform(s, lambda x: len({words_sql('x')})) as c from s),
+r as (select doc_id, 1 as i, 0 as sub, c[1] as n from w where len(s) > 0
+      union all select r.doc_id, i + 1, case when r.n > 0 and r.n + c[i + 1] > 500 then sub + 1 else sub end, case when r.n > 0 and r.n + c[i + 1] > 500 then c[i + 1] else r.n + c[i + 1] end from r join w on w.doc_id = r.doc_id where i < len(s)),
+p as (select r.doc_id, sub, string_agg(s[i], ' ' order by i) as text from r join w on w.doc_id = r.doc_id group by all union all select doc_id, null, text from d where n <= 1000)
+select doc_id, sub, len({words_sql('text')}) as word_count, md5(text) as digest from p""",
+    "text_snippets": f"""with recursive d as (select doc_id, list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda w: trim(w) <> '') as s from documents where text is not null),
+w as (select doc_id, list_transform(s, lambda x: len({words_sql('x')})) as c from d),
+r as (select doc_id, 1 as i, 0 as g, c[1] as n from w where len(c) > 0
+      union all select r.doc_id, i + 1, case when r.n > 0 and r.n + c[i + 1] > 850 then g + 1 else g end, case when r.n > 0 and r.n + c[i + 1] > 850 then c[i + 1] else r.n + c[i + 1] end from r join w on w.doc_id = r.doc_id where i < len(c)),
+p as (select r.doc_id, g, sum(c[i])::int as n_words from r join w on w.doc_id = r.doc_id group by all having sum(c[i]) between 200 and 850)
+select doc_id, nth, n_words from (select doc_id, n_words, row_number() over (partition by doc_id order by g) - 1 as nth from p) where nth < 2""",
     "passage_split_counts": f"select doc_id, sum(len({words_sql('text')}))::bigint as n_words from documents where text is not null group by doc_id",
     "exchange_ids": f"with {_EXCH} select doc_id, hearing_id, exchange from x",
     "exchange_types": f"with {_EXCH}, g as (select hearing_id, exchange, count(*) as n_turns, sum(len({words_sql('text')}))::bigint as n_words from x group by all) select *, case when n_turns = 1 and n_words > 300 then 'opening_statement' when n_turns = 1 then 'procedural' else 'qa_exchange' end as type from g",
@@ -382,5 +396,6 @@ SQL = {
     "stratified_sample": "with d as (select doc_id, lang, source, count(*) over (partition by lang, source) as n, row_number() over (partition by lang, source order by md5(concat_ws('|', '42', doc_id::varchar)), doc_id) as r, count(*) over () as total from documents where lang is not null) select doc_id, lang, source from d where r <= greatest(1, round_even(n / total * 500, 0)::bigint)",
     "query_batches": "select floor((r - 1) / 15)::bigint as batch, count(*) as n, min(qid) as first_qid from (select qid, row_number() over (order by qid) as r from queries) group by 1",
     "shuffled_queries": "select qid, row_number() over (order by md5(concat_ws('|', '42', qid)), qid) as place from queries",
+    "hashed_encoder": f"with t as (select qid, unnest({tok('query_text')}) as term from queries), h as (select qid, list_reduce(list_transform(range(8), lambda i: (strpos('0123456789abcdef', substr(md5(term), i::int + 1, 1)) - 1)::bigint), lambda a, b: a * 16 + b) as h from t), c as (select qid, h % 16 as c, sum(case when (h // 16) % 2 = 0 then 1 else -1 end)::int as v from h group by all) select q.qid, string_agg(coalesce(c.v, 0)::varchar, ',' order by k.k) as vec from (select distinct qid from h) q cross join (select unnest(range(16)) as k) k left join c on c.qid = q.qid and c.c = k.k group by q.qid",
     "stream_ingest_events": "select event_type, count(*) as n from events group by event_type",
 }
