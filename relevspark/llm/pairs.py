@@ -191,11 +191,12 @@ def shingles(words: list[str], n: int = 3) -> set[tuple]:
 class _Template:
     def __init__(self, line: str):
         self.words = tokens(line.replace("*", " "))
+        self.held = set(self.words)
         self.open = "*" in line
 
-    def fits(self, words: list[str]) -> bool:
+    def fits(self, words: list[str], held: set[str]) -> bool:
         need = len(self.words)
-        if len(words) < 0.8 * need or len(words) > need + (14 if self.open else 2):
+        if len(words) < 0.8 * need or len(words) > need + (14 if self.open else 2) or len(self.held & held) < 0.8 * len(self.held):
             return False
         return lcs(self.words, words) >= (need if need <= 3 else 0.85 * need)
 
@@ -214,9 +215,10 @@ def declines(answer: str, words: set[str]) -> bool:
         w = tokens(s)
         if not w:
             continue
-        if any(t.fits(w) for t in _REFUSALS):
+        held = set(w)
+        if any(t.fits(w, held) for t in _REFUSALS):
             refused += 1
-        elif not any(t.fits(w) for t in _COURTESIES):
+        elif len(w) > 12 or not any(t.fits(w, held) for t in _COURTESIES):
             help_words += len(w)
             if help_words > 6:
                 return False
