@@ -1,17 +1,19 @@
 """Keyword-stuffed and link-list pages, by the mutual information of neighbouring words.
 
-Counts of words and of neighbouring pairs are taken over the whole corpus.  Each page is cut into windows of words; a window's mean
+Counts of words and of neighbouring pairs are taken over the whole corpus, each distinct text once.  Each page is cut into windows of words; a window's mean
 pointwise mutual information, with the page's own counts left out, tells text (pairs that other pages have too) from word salad,
-and the share of words that the window repeats tells excessive repetition.  Links, hash tags and lines with product codes
+and the share of words that the window repeats tells excessive repetition.  A window made up of pairs that the page repeats is excessive
+repetition whatever their information.  Links, hash tags and lines with product codes
 are counted as they stand.  A page is stuffed if more than half of its words belong to such windows, links or tags.
 
-Pages are dealt into blocks of bounded size.  Only the distinct pairs of each block travel to be summed, and only the sums of those that
+Distinct texts are dealt into blocks of bounded size.  Only the distinct pairs of each block travel to be summed, and only the sums of those that
 occur elsewhere travel back, so both shuffles stay in proportion to the corpus and no table of counts is broadcast.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,11 @@ WINDOW = 48
 WORD_FLOOR, PAIR_FLOOR, GLUE = 7e-5, 1.3e-7, 4e-3
 #: A window is salad if its mean information less REPEAT_WEIGHT times its share of repeated words lies below LIMIT.
 REPEAT_WEIGHT, LIMIT, LEAST_REPEAT, MOST_GLUE = 4.0, 1.6, 0.12, 0.25
+#: A window is repetition if this share of its words is in pairs that the page has TIMES times or more, and it has few joining words or at most FEW of its words are distinct.
+TIMES, COVERED, FEW = 4, 0.9, 0.2
 SHARE = 0.5
+#: Hashes of texts that a task remembers, to send each text once.
+SEEN = 500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|(?<!\w)#\w+")
@@ -136,7 +142,8 @@ def score_block(texts: list[str | None], keys: np.ndarray, totals: np.ndarray, k
 
     word_count = elsewhere(h, _own(h, owner))
     p, p_owner, left = pair[inside], owner[:-1][inside], np.flatnonzero(inside)
-    pair_count = elsewhere(p, _own(p, p_owner))
+    of_page_count = _own(p, p_owner)
+    pair_count = elsewhere(p, of_page_count)
     floor = total * WORD_FLOOR
     info = np.log2((pair_count + total * PAIR_FLOOR) * total / ((word_count[left] + floor) * (word_count[left + 1] + floor)))
     info = np.clip(info, -6, 8)
@@ -145,10 +152,19 @@ def score_block(texts: list[str | None], keys: np.ndarray, totals: np.ndarray, k
     pairs = np.bincount(window[left], minlength=n)
     mean = np.bincount(window[left], weights=info, minlength=n) / np.maximum(pairs, 1)
     glue = word_count >= GLUE * total
-    repeated = (_own(h, window) >= 3) & ~glue
+    in_window = _own(h, window)
+    repeated = (in_window >= 3) & ~glue
     rep = np.bincount(window, weights=repeated, minlength=n) / size
     joined = np.bincount(window, weights=glue, minlength=n) / size
-    salad = (size >= 8) & (mean - REPEAT_WEIGHT * rep < LIMIT) & (rep >= LEAST_REPEAT) & (joined < MOST_GLUE)
+    again = left[of_page_count >= TIMES]
+    covered = np.zeros(len(h), bool)
+    covered[again] = covered[again + 1] = True
+    covered = np.bincount(window, weights=covered, minlength=n) / size
+    distinct = np.bincount(window, weights=1 / in_window, minlength=n) / size
+    # against the words of the other pages, so that a long page doesn't take the joining words from itself
+    joins = word_count >= np.maximum(GLUE * (total - words[owner]), 1)
+    cycle = (covered >= COVERED) & ((np.bincount(window, weights=joins, minlength=n) / size < MOST_GLUE) | (distinct <= FEW))
+    salad = (size >= 8) & (cycle | (mean - REPEAT_WEIGHT * rep < LIMIT) & (rep >= LEAST_REPEAT) & (joined < MOST_GLUE))
     bad = np.bincount(owner, weights=salad[window], minlength=pages).astype(np.int64)
     of_page = np.bincount(p_owner, minlength=pages)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -162,14 +178,33 @@ def page_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     Null, empty and wordless texts have no words, a null mean_pmi and share 0 and aren't stuffed; null ids and repeated rows are pages of their own;
     other columns are not read.
     """
-    key = df.schema[id_col].dataType.simpleString()
-    pages = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    pages = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     chars = pages.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    dealt = pages.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    # copies are scored once and counted once: their number changes no page's counts, and however many there are, a block gets at most one from each task
+    pages = pages.select("id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            keep = []
+            for k, v in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if v not in seen:
+                    keep.append(k)
+                    seen.add(v)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield b.take(pa.array(keep, pa.int64()))
+
+    texts = pages.select("h", "g", "text").mapInArrow(fresh, "h bigint, g bigint, text string")
+    dealt = texts.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).repartition(blocks, "block")
+
+    def once(group: pa.Table) -> pa.Table:
+        first = {v: k for k, v in enumerate(zip(group.column("h").to_pylist(), group.column("g").to_pylist()))}
+        return group if len(first) == len(group) else group.take(pa.array(first.values(), pa.int64()))
 
     def count(group: pa.Table) -> pa.Table:
-        keys, n = count_block(group.column("text").to_pylist(), _Words())
+        keys, n = count_block(once(group).column("text").to_pylist(), _Words())
         return pa.table({"block": pa.array(np.full(len(keys), group.column("block")[0].as_py(), np.int32)), "key": keys, "n": n})
 
     counted = dealt.groupBy("block").applyInArrow(count, "block int, key bigint, n bigint")
@@ -177,11 +212,11 @@ def page_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     sums = counted.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total > 1").select("block", "key", "total").repartition(blocks, "block")
 
     def score(group: pa.Table, sums_: pa.Table) -> pa.Table:
-        ids = group.column("id")
+        group = once(group)
         out = score_block(group.column("text").to_pylist(), sums_.column("key").to_numpy(), sums_.column("total").to_numpy(), _Words())
         words, tagged, bad, info = out
         share = (tagged + bad) / np.maximum(words, 1)
-        return pa.table({"id": ids, "n_words": words.astype(np.int64), "tag_words": tagged.astype(np.int64), "salad_words": bad, "mean_pmi": pa.array(info, mask=np.isnan(info)), "share": share, "stuffed": share > SHARE})
+        return pa.table({"h": group.column("h"), "g": group.column("g"), "n_words": words.astype(np.int64), "tag_words": tagged.astype(np.int64), "salad_words": bad, "mean_pmi": pa.array(info, mask=np.isnan(info)), "share": share, "stuffed": share > SHARE})
 
-    scored = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, f"id {key}, n_words bigint, tag_words bigint, salad_words bigint, mean_pmi double, share double, stuffed boolean")
-    return scored.withColumnRenamed("id", id_col)
+    scored = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, "h bigint, g bigint, n_words bigint, tag_words bigint, salad_words bigint, mean_pmi double, share double, stuffed boolean")
+    return pages.select("id", "h", "g").join(scored, ["h", "g"]).drop("h", "g").withColumnRenamed("id", id_col)

@@ -75,3 +75,21 @@ def test_kinds_of_page(spark, corpus):
 def test_own_counts():
     keys, owner = np.array([5, 5, 7, 5], np.uint64), np.array([0, 0, 0, 1])
     assert S._own(keys, owner).tolist() == [2, 2, 1, 1]
+
+
+def test_repetition_and_copies(spark, corpus):
+    """Repetition is found however common the phrase is elsewhere, and copies change no page's counts."""
+    phrase = ["cheap shoes online outlet " * 50] * 20 + [f"cheap shoes online outlet {'' if k % 2 else 'store'} " * (30 + k) for k in range(40)]
+    salad = "Tags: " + ", ".join(f"lamp {w}" for w in "shop cheap lamp sale lamp shop cheap lamp sale lamp shop lamp cheap deals lamp".split() * 2)
+    fine = ["The lamp and the shop of the shop trade are not the shop that the lamp of the shop is in. " * 4, " ".join(corpus) * 8]
+    rows = list(enumerate(corpus + phrase + [salad] + fine))
+    n = len(corpus)
+
+    def run(rows):
+        return {r.doc_id: r.asDict() for r in S.page_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+    got = run(rows)
+    assert {k for k, r in got.items() if r["stuffed"]} == set(range(n, n + len(phrase) + 1))
+    copied = run(rows + [(10_000 + k, salad) for k in range(len(rows) // 2)])
+    assert {k: r for k, r in copied.items() if k < 10_000} == got
+    assert all(r["stuffed"] for k, r in copied.items() if k >= 10_000)
