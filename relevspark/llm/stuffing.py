@@ -3,7 +3,7 @@
 Counts of words and of neighbouring pairs are taken over the whole corpus, each distinct text once.  Each page is cut into windows of words; a window's mean
 pointwise mutual information, with the page's own counts left out, tells text (pairs that other pages have too) from word salad,
 and the share of words that the window repeats tells excessive repetition.  A window made up of pairs that the page repeats is excessive
-repetition whatever their information.  Links, hash tags and lines with product codes
+repetition whatever their information, and one of very low information with few joining words is salad whether it repeats anything or not.  Links, hash tags and lines with product codes
 are counted as they stand.  A page is stuffed if more than half of its words belong to such windows, links or tags.
 
 Distinct texts are dealt into blocks of bounded size.  Only the distinct pairs of each block travel to be summed, and only the sums of those that
@@ -31,6 +31,8 @@ WORD_FLOOR, PAIR_FLOOR, GLUE = 7e-5, 1.3e-7, 4e-3
 REPEAT_WEIGHT, LIMIT, LEAST_REPEAT, MOST_GLUE = 4.0, 1.6, 0.12, 0.25
 #: A window is repetition if this share of its words is in pairs that the page has TIMES times or more, and it has few joining words or at most FEW of its words are distinct.
 TIMES, COVERED, FEW = 4, 0.9, 0.2
+#: A window of at least LEAST_WINDOW words with few joining words is salad without any repetition if its mean information lies below LOW.
+LEAST_WINDOW, LOW = 24, -1.0
 SHARE = 0.5
 #: Hashes of texts that a task remembers, to send each text once.
 SEEN = 500_000
@@ -164,7 +166,8 @@ def score_block(texts: list[str | None], keys: np.ndarray, totals: np.ndarray, k
     # against the words of the other pages, so that a long page doesn't take the joining words from itself
     joins = word_count >= np.maximum(GLUE * (total - words[owner]), 1)
     cycle = (covered >= COVERED) & ((np.bincount(window, weights=joins, minlength=n) / size < MOST_GLUE) | (distinct <= FEW))
-    salad = (size >= 8) & (cycle | (mean - REPEAT_WEIGHT * rep < LIMIT) & (rep >= LEAST_REPEAT) & (joined < MOST_GLUE))
+    incoherent = (size >= LEAST_WINDOW) & (mean < LOW) & (joined < MOST_GLUE)
+    salad = (size >= 8) & (cycle | incoherent | (mean - REPEAT_WEIGHT * rep < LIMIT) & (rep >= LEAST_REPEAT) & (joined < MOST_GLUE))
     bad = np.bincount(owner, weights=salad[window], minlength=pages).astype(np.int64)
     of_page = np.bincount(p_owner, minlength=pages)
     with np.errstate(invalid="ignore", divide="ignore"):

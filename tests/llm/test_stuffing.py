@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -93,3 +94,21 @@ def test_repetition_and_copies(spark, corpus):
     copied = run(rows + [(10_000 + k, salad) for k in range(len(rows) // 2)])
     assert {k: r for k, r in copied.items() if k < 10_000} == got
     assert all(r["stuffed"] for k, r in copied.items() if k >= 10_000)
+
+
+def test_cycles_and_salad_without_repetition(spark):
+    """Cycles of any length are repetition; words that never stand together are salad though none is repeated in a window."""
+    rng = random.Random(5)
+    words = [f"w{a}{b}" for a in "abcdefghijklmnopqr" for b in "abcdefghijklmnopqr"]
+    # each word is always followed by one of three others
+    docs = []
+    for _ in range(1500):
+        w = [rng.randrange(324)]
+        while len(w) < 60:
+            w.append((w[-1] * 3 + rng.randrange(1, 4)) % 324)
+        docs.append(" ".join(f"the {words[k]}" if j % 2 else words[k] for j, k in enumerate(w)))
+    cycles = [" ".join([f"x{chr(97 + j % 26)}{chr(97 + c)}y{j // 26 * 'z'}" for j in range(n)] * 20) for c, n in enumerate((8, 16, 20, 24, 30, 60))]
+    salad = [" ".join(rng.sample(words, 96)) for _ in range(10)]
+    rows = list(enumerate(docs + cycles + salad))
+    got = {r.doc_id for r in S.page_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).where("stuffed").collect()}
+    assert got == set(range(len(docs), len(rows)))
