@@ -11,6 +11,7 @@ Exact copies (the same words in the same order) are one class before all this, s
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,10 +33,10 @@ BUCKET = 32
 BLOCK = 512
 #: Segments after its own by whose codewords a large bucket is split.
 SPLIT = 3
-#: Near-duplicates differ in 33 to 42 (rarely over 60) of the 368 bits of their fingerprints, other records in about 168; a pair that differs in more than this is no candidate.
-MOST_BITS = 75
-#: Columns of the whole fingerprint.
-PRINT = [f"b{k}" for k in range(-(-SEGMENTS * golay.BITS // 64))]
+#: The share of pairs at the least similarity that may be left out for sharing too few min-wise runs.  Each is shared with the probability of the similarity, whatever the kind of edit.
+MISS = 1e-3
+#: Columns of 16-bit marks of the min-wise runs, four a column.
+PRINT = [f"b{k}" for k in range(SEGMENTS // 4)]
 #: Most ids of candidates (24 bytes each) that are sent to every executor.
 SMALL = 2_000_000
 _WORD = re.compile(r"\w+")
@@ -80,7 +81,7 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(texts: list[str | None], run: int, least_words: int, known: _Words):
-    """Index, text hash, number of distinct runs, anchors (n, SEGMENTS), codes (n, SEGMENTS, codes) and all bits (n, words of 64) of the texts that have enough words."""
+    """Index, text hash, number of distinct runs, anchors (n, SEGMENTS), codes (n, SEGMENTS, codes) and marks of the anchors (n, columns of PRINT) of the texts that have enough words."""
     index, starts, flat, digest = [], [0], [], []
     for k, t in enumerate(texts):
         w = words_of(t)
@@ -126,12 +127,12 @@ def fingerprints(texts: list[str | None], run: int, least_words: int, known: _Wo
             b = max(a + 1, int(np.searchsorted(stop, begin[a] + 60_000)))
             sums[a:b] = np.add.reduceat(sign[word[begin[a] : stop[b - 1]]], begin[a:b] - begin[a], axis=0, dtype=np.int32)
             a = b
-        bits = np.packbits(np.pad(sums > 0, ((0, 0), (0, 64 * len(PRINT) - sums.shape[1]))), axis=1).view(np.int64)
+        marks = np.ascontiguousarray(anchors.astype(np.uint16)).view(np.int64)
         sums = sums.reshape(n * SEGMENTS, golay.BITS)
         value = ((sums > 0) << np.arange(golay.BITS, dtype=np.int32)).sum(1).astype(np.int32)
         doubt = np.argsort(np.abs(sums), axis=1, kind="stable")[:, :FLIPS]
         codes = golay.nearby(value, doubt, FLIPS).reshape(n, SEGMENTS, 1 << FLIPS) + (np.arange(SEGMENTS, dtype=np.int32) << 12)[None, :, None]
-    return index, digest, distinct, anchors, codes, bits
+    return index, digest, distinct, anchors, codes, marks
 
 
 def similarity(a: str | None, b: str | None, run: int = RUN) -> float:
@@ -142,6 +143,16 @@ def similarity(a: str | None, b: str | None, run: int = RUN) -> float:
     return both / (len(s) + len(t) - both) if both else 0.0
 
 
+def least_shared(similarity_: float) -> int:
+    """The number of min-wise runs that two records of this similarity share, but for MISS of them."""
+    below = 0.0
+    for m in range(SEGMENTS):
+        below += math.comb(SEGMENTS, m) * similarity_**m * (1 - similarity_) ** (SEGMENTS - m)
+        if below > MISS:
+            return m
+    return SEGMENTS
+
+
 def fingerprint_table(records: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
     """``tbl, rec_id, copy_key, n_runs, b0 ..., anchors, codes`` of the records with enough words and an id; the last two are packed numbers."""
 
@@ -150,12 +161,12 @@ def fingerprint_table(records: DataFrame, run: int = RUN, least_words: int = LEA
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                index, digest, n_runs, anchors, codes, bits = fingerprints(part.column(2).to_pylist(), run, least_words, known)
+                index, digest, n_runs, anchors, codes, marks = fingerprints(part.column(2).to_pylist(), run, least_words, known)
                 if not index:
                     continue
                 take = pa.array(index, pa.int32())
                 packed = [pa.array([row.tobytes() for row in m], pa.binary()) for m in (anchors, codes.astype(np.uint16))]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(digest, pa.binary()), pa.array(n_runs, pa.int32()), *(pa.array(bits[:, k]) for k in range(len(PRINT))), *packed], names=["tbl", "rec_id", "copy_key", "n_runs", *PRINT, "anchors", "codes"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(digest, pa.binary()), pa.array(n_runs, pa.int32()), *(pa.array(marks[:, k]) for k in range(len(PRINT))), *packed], names=["tbl", "rec_id", "copy_key", "n_runs", *PRINT, "anchors", "codes"])
 
     return records.where("rec_id is not null").select("tbl", "rec_id", "text").mapInArrow(work, "tbl string, rec_id bigint, copy_key binary, n_runs int, " + "".join(f"{c} bigint, " for c in PRINT) + "anchors binary, codes binary")
 
@@ -222,9 +233,13 @@ def _pairs_in_buckets(rows: DataFrame, similarity_: float) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, similarity_: float) -> DataFrame:
-    """Pairs whose fingerprints are near and of which the shorter is long enough to reach the similarity."""
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in PRINT[1:]), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
-    return pairs.where((apart <= MOST_BITS) & (F.least("n_a", "n_b") >= similarity_ * F.greatest("n_a", "n_b"))).select("t", "id_a", "id_b")
+    """Pairs that share enough min-wise runs and of which the shorter is long enough to reach the similarity."""
+    shared = F.lit(0)
+    for c in PRINT:
+        for at in (0, 16, 32, -16):
+            mark = F.lit(0xFFFF << at if at >= 0 else -(1 << 48))
+            shared = shared + (F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")).bitwiseAND(mark) == 0).cast("int")
+    return pairs.where((shared >= least_shared(similarity_)) & (F.least("n_a", "n_b") >= similarity_ * F.greatest("n_a", "n_b"))).select("t", "id_a", "id_b")
 
 
 def _pairs_in_blocks(rows: DataFrame, keys: list[str], on: str = "id", more: tuple[str, ...] = ()) -> DataFrame:

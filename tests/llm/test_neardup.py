@@ -109,3 +109,32 @@ def test_large_buckets_are_split_and_whole(spark, monkeypatch):
 def test_empty(spark):
     links, classes = N.near_duplicates(frame(spark, variants()[:1]).limit(0))
     assert N.all_pairs(links, classes).count() == 0 and N.groups(links, classes).count() == 0
+
+
+def block_edits(n, low=0.6, high=0.66, seed=9):
+    """Pairs of texts of which one has a block of new words put in, appended or in place of another; their similarities lie in the range."""
+    rng = random.Random(seed)
+    common = [f"f{k}" for k in range(20)]
+    out = []
+    while len(out) < n:
+        a = [f"c{rng.getrandbits(40)}" if rng.random() < 0.7 else rng.choice(common) for _ in range(rng.choice([80, 140, 260]))]
+        size = rng.randint(len(a) // 10, len(a))
+        block = [f"c{rng.getrandbits(40)}" if rng.random() < 0.7 else rng.choice(common) for _ in range(size)]
+        at = rng.randrange(len(a))
+        b = rng.choice([a + block, a[:at] + block + a[at:], a[:at] + block + a[at + size :]])
+        if low <= N.similarity(" ".join(a), " ".join(b)) <= high:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def reps_of(spark, texts):
+    rows = [("documents", k, t) for k, t in enumerate(texts)]
+    prints = N.fingerprint_table(frame(spark, rows))
+    return prints.select(N._code("tbl").alias("t"), N.F.col("rec_id").alias("id"), N.F.col("n_runs").alias("n"), *N.PRINT, "anchors", "codes")
+
+
+def test_block_edits_stay_possible(spark):
+    pairs = block_edits(400)
+    reps = reps_of(spark, [t for p in pairs for t in p]).cache()
+    a, b = (reps.select("t", N.F.col("id").alias(f"id_{x}"), (N.F.col("id") / 2).cast("int").alias("p"), *(N.F.col(c).alias(f"{c}_{x}") for c in ("n", *N.PRINT))) for x in "ab")
+    assert N._possible(a.join(b, ["t", "p"]).where("id_a < id_b"), 0.6).count() >= 0.99 * len(pairs)
