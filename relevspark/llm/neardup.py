@@ -28,11 +28,9 @@ SEGMENTS = 16
 FLIPS = 1
 #: Runs of words, least number of words of a record, and least similarity (defaults; parameters of the operator).
 RUN, LEAST_WORDS, SIMILARITY = 3, 50, 0.6
-#: Buckets with more records than this are split by the codewords of the other segments; what stays larger is compared in blocks.
+#: Buckets with more records than this are split by a further min-wise run; what stays larger is compared in blocks.
 BUCKET = 32
 BLOCK = 512
-#: Segments after its own by whose codewords a large bucket is split.
-SPLIT = 3
 #: The share of pairs at the least similarity that may be left out for sharing too few min-wise runs.  Each is shared with the probability of the similarity, whatever the kind of edit.
 MISS = 1e-3
 #: Columns of 16-bit marks of the min-wise runs, four a column.
@@ -203,24 +201,24 @@ def _key_rows(reps: DataFrame) -> DataFrame:
     return reps.select("t", "id", "anchors", "codes").mapInArrow(work, "t int, key bigint, id bigint, segment tinyint")
 
 
-def _split_rows(hot: DataFrame) -> DataFrame:
-    """``t, key, id``: rows ``t, key, segment, id, codes`` of large buckets, each under the codewords of the SPLIT segments after its own."""
+def _split_rows(hot: DataFrame, others: int) -> DataFrame:
+    """``t, key, id``: rows ``t, segment, id, anchors`` of large buckets, each under its run together with the run of each of the ``others`` segments after its own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            c = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(b.num_rows, SEGMENTS, -1)
-            key, segment = b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
-            c = np.take_along_axis(c, ((segment[:, None] + np.arange(1, SPLIT + 1)) % SEGMENTS)[:, :, None].astype(np.int64), axis=1)
+            a = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, SEGMENTS)
+            own = b.column(1).to_numpy().astype(np.int64)[:, None]
+            at = np.sort(np.stack(np.broadcast_arrays(own, (own + np.arange(1, others + 1)) % SEGMENTS), axis=2), axis=2)
+            keys = np.zeros(at.shape[:2], np.uint64)
             with np.errstate(over="ignore"):
-                keys = np.sort(_mix(key[:, None, None] * np.uint64(3) + c.astype(np.uint64)), axis=2)
-            fresh = np.ones(keys.shape, bool)
-            fresh[:, :, 1:] = keys[:, :, 1:] != keys[:, :, :-1]
-            row = pa.array(np.nonzero(fresh)[0])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(keys[fresh].view(np.int64)), b.column(3).take(row)], names=["t", "key", "id"])
+                for k in range(at.shape[2]):
+                    keys = _mix(keys * np.uint64(3) + a[np.arange(len(a))[:, None], at[:, :, k]] + at[:, :, k].astype(np.uint64))
+            row = pa.array(np.repeat(np.arange(len(a)), at.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(keys.ravel().view(np.int64)), b.column(2).take(row)], names=["t", "key", "id"])
 
-    return hot.select("t", "key", "segment", "id", "codes").mapInArrow(work, "t int, key bigint, id bigint")
+    return hot.select("t", "segment", "id", "anchors").mapInArrow(work, "t int, key bigint, id bigint")
 
 
 def _pairs_in_buckets(rows: DataFrame, similarity_: float) -> DataFrame:
@@ -258,12 +256,14 @@ def candidates(reps: DataFrame, similarity_: float = SIMILARITY) -> DataFrame:
     rows = cut(_key_rows(reps).withColumn("c", size).where("c > 1").join(about, ["t", "id"]))
     pairs = _pairs_in_buckets(rows.where(F.col("c") <= BUCKET), similarity_)
     hot = rows.where(F.col("c") > BUCKET)
+    least = least_shared(similarity_)
     if hot.limit(1).count():
-        # large buckets are split by the codewords of other segments, of which near-duplicates share one too
-        split = _split_rows(hot.select("t", "key", "segment", "id").join(reps.select("t", "id", "codes"), ["t", "id"]))
-        split = cut(split.distinct().withColumn("c", size).where("c > 1").join(about, ["t", "id"]))
-        pairs = pairs.unionAll(_pairs_in_buckets(split.where(F.col("c") <= BUCKET), similarity_))
-        pairs = pairs.unionAll(_possible(_pairs_in_blocks(split.where(F.col("c") > BUCKET), ["t", "key"], more=("n", *PRINT)), similarity_))
+        if least >= 2:
+            # possible pairs share least - 1 of the other runs too, so one at least of any SEGMENTS + 1 - least of them: none is lost
+            split = _split_rows(hot.select("t", "segment", "id").distinct().join(reps.select("t", "id", "anchors"), ["t", "id"]), SEGMENTS + 1 - least)
+            hot = cut(split.distinct().withColumn("c", size).where("c > 1").join(about, ["t", "id"]))
+            pairs = pairs.unionAll(_pairs_in_buckets(hot.where(F.col("c") <= BUCKET), similarity_))
+        pairs = pairs.unionAll(_possible(_pairs_in_blocks(hot.where(F.col("c") > BUCKET), ["t", "key"], more=("n", *PRINT)), similarity_))
     return pairs.distinct()
 
 

@@ -138,3 +138,18 @@ def test_block_edits_stay_possible(spark):
     reps = reps_of(spark, [t for p in pairs for t in p]).cache()
     a, b = (reps.select("t", N.F.col("id").alias(f"id_{x}"), (N.F.col("id") / 2).cast("int").alias("p"), *(N.F.col(c).alias(f"{c}_{x}") for c in ("n", *N.PRINT))) for x in "ab")
     assert N._possible(a.join(b, ["t", "p"]).where("id_a < id_b"), 0.6).count() >= 0.99 * len(pairs)
+
+
+def family(n, seed=3):
+    """Copies with edits: a common part and a block of each text's own, similarity 0.6 to 0.7 between any two."""
+    rng = random.Random(seed)
+    core = [f"c{rng.getrandbits(40)}" for _ in range(120)]
+    return [" ".join(core + [f"c{rng.getrandbits(40)}" for _ in range(rng.randint(28, 34))]) for _ in range(n)]
+
+
+def test_size_of_buckets_changes_no_result(spark, monkeypatch):
+    texts = family(70)
+    reps = reps_of(spark, texts).cache()
+    split = {tuple(r) for r in N.candidates(reps).collect()}
+    monkeypatch.setattr(N, "BUCKET", 10**6)
+    assert split >= {tuple(r) for r in N.candidates(reps).collect()}
