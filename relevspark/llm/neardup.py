@@ -3,8 +3,9 @@
 Each record gets a fingerprint of ``SEGMENTS`` segments of 23 bits (signs of sums over its distinct words).  A few edits
 turn over few bits, so by the pigeonhole principle some segments of two near-duplicates differ in few bits.  Each segment is decoded to
 nearby codewords of the Golay code, of several readings of its least sure bits, which gives a few keys a segment; near-duplicates share a key in
-most segments.  Twelve bits cannot tell a large collection apart, so a key also holds the record's min-wise run of words under the segment's hash function:
-buckets then stay small as the collection grows.  Records that share a key are compared by their runs of words, exactly.
+many segments.  Twelve bits cannot tell a large collection apart, so a key also holds the record's min-wise run of words under the segment's hash function:
+buckets then stay small as the collection grows.  A replaced block turns over more bits than a few edits do, so the min-wise runs of two segments in a row are a key too:
+such a key is shared with the square of the similarity as its probability, and one of the 16 by 99.4 % of the pairs at 0.6, whatever the edit.  Records that share a key are compared by their runs of words, exactly.
 
 Exact copies (the same words in the same order) are one class before all this, so copies never fill a bucket.
 """
@@ -33,12 +34,16 @@ BUCKET = 32
 BLOCK = 512
 #: The share of pairs at the least similarity that may be left out for sharing too few min-wise runs.  Each is shared with the probability of the similarity, whatever the kind of edit.
 MISS = 1e-3
-#: Columns of 16-bit marks of the min-wise runs, four a column.
-PRINT = [f"b{k}" for k in range(SEGMENTS // 4)]
+#: Min-wise runs of which marks are compared; the first SEGMENTS of them are the segments' own.
+SKETCH = 42
+#: Columns of 7-bit marks of the min-wise runs, seven a column, each below a bit that is left free to count those that differ.
+PRINT = [f"b{k}" for k in range(SKETCH // 7)]
 #: Most ids of candidates (24 bytes each) that are sent to every executor.
 SMALL = 2_000_000
 _WORD = re.compile(r"\w+")
 _MASK = (1 << 64) - 1
+#: Odd factors of the segments' min-wise hashes; the runs they order are mixed already.
+_ODD = np.array([xxhash.xxh3_64_intdigest(f"segment {k}") | 1 for k in range(SKETCH)], np.uint64)
 
 
 class _Words(dict):
@@ -111,7 +116,8 @@ def fingerprints(texts: list[str | None], run: int, least_words: int, known: _Wo
         r, o = r[fresh], o[fresh]
         distinct = np.bincount(o, minlength=n)
         first = np.concatenate([[0], np.cumsum(distinct)[:-1]])
-        anchors = np.stack([np.minimum.reduceat(_mix(r ^ np.uint64(0xD6E8FEB86659FD93 * (s + 1) & _MASK)), first) for s in range(SEGMENTS)], axis=1)
+        least = np.stack([np.minimum.reduceat((r ^ np.uint64(0xD6E8FEB86659FD93 * (s + 1) & _MASK)) * _ODD[s], first) for s in range(SKETCH)], axis=1)
+        anchors = np.ascontiguousarray(least[:, :SEGMENTS])
         # distinct words of each record
         vocabulary, word = np.unique(h, return_inverse=True)
         pair = np.unique(owner.astype(np.int64) * len(vocabulary) + word)
@@ -125,7 +131,7 @@ def fingerprints(texts: list[str | None], run: int, least_words: int, known: _Wo
             b = max(a + 1, int(np.searchsorted(stop, begin[a] + 60_000)))
             sums[a:b] = np.add.reduceat(sign[word[begin[a] : stop[b - 1]]], begin[a:b] - begin[a], axis=0, dtype=np.int32)
             a = b
-        marks = np.ascontiguousarray(anchors.astype(np.uint16)).view(np.int64)
+        marks = np.pad((_mix(least) & np.uint64(127)).astype(np.uint8).reshape(n, len(PRINT), 7), ((0, 0), (0, 0), (0, 1))).reshape(n, -1).view(np.int64)
         sums = sums.reshape(n * SEGMENTS, golay.BITS)
         value = ((sums > 0) << np.arange(golay.BITS, dtype=np.int32)).sum(1).astype(np.int32)
         doubt = np.argsort(np.abs(sums), axis=1, kind="stable")[:, :FLIPS]
@@ -141,14 +147,14 @@ def similarity(a: str | None, b: str | None, run: int = RUN) -> float:
     return both / (len(s) + len(t) - both) if both else 0.0
 
 
-def least_shared(similarity_: float) -> int:
-    """The number of min-wise runs that two records of this similarity share, but for MISS of them."""
+def least_shared(similarity_: float, of: int = SEGMENTS) -> int:
+    """The number of ``of`` min-wise runs that two records of this similarity share, but for MISS of them."""
     below = 0.0
-    for m in range(SEGMENTS):
-        below += math.comb(SEGMENTS, m) * similarity_**m * (1 - similarity_) ** (SEGMENTS - m)
+    for m in range(of):
+        below += math.comb(of, m) * similarity_**m * (1 - similarity_) ** (of - m)
         if below > MISS:
             return m
-    return SEGMENTS
+    return of
 
 
 def fingerprint_table(records: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -182,7 +188,10 @@ def _unpack(anchors: pa.Array, codes: pa.Array) -> tuple[np.ndarray, np.ndarray]
 
 
 def _key_rows(reps: DataFrame) -> DataFrame:
-    """``t, key, id, segment``, one row for each key of each representative ``t, id, anchors, codes``; the table is part of the key."""
+    """``t, key, id, segment``, one row for each key of each representative ``t, id, anchors, codes``; the table is part of the key.
+
+    Segments from SEGMENTS on are keys of the runs of a segment and the next.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,27 +204,34 @@ def _key_rows(reps: DataFrame) -> DataFrame:
             fresh = np.ones(keys.shape, bool)
             fresh[:, :, 1:] = keys[:, :, 1:] != keys[:, :, :-1]
             row, segment, _ = np.nonzero(fresh)
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(keys[fresh].view(np.int64)), b.column(1).take(row), pa.array(segment.astype(np.int8))], names=["t", "key", "id", "segment"])
+            with np.errstate(over="ignore"):
+                both = _mix(a * np.uint64(0x9E3779B97F4A7C15) + np.roll(_mix(a), -1, axis=1) + salt[:, None])
+            row = pa.array(np.concatenate([row, np.repeat(np.arange(len(a)), SEGMENTS)]))
+            segment = np.concatenate([segment, np.tile(np.arange(SEGMENTS, 2 * SEGMENTS), len(a))])
+            keys = np.concatenate([keys[fresh], both.ravel()])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(keys.view(np.int64)), b.column(1).take(row), pa.array(segment.astype(np.int8))], names=["t", "key", "id", "segment"])
 
     return reps.select("t", "id", "anchors", "codes").mapInArrow(work, "t int, key bigint, id bigint, segment tinyint")
 
 
 def _split_rows(hot: DataFrame, others: int) -> DataFrame:
-    """``t, key, id``: rows ``t, segment, id, anchors`` of large buckets, each under its run together with the run of each of the ``others`` segments after its own."""
+    """``t, key, id``: rows ``t, segment, id, anchors`` of large buckets, each under its run (or two runs) together with the run of each of the ``others`` segments after its own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             a = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, SEGMENTS)
-            own = b.column(1).to_numpy().astype(np.int64)[:, None]
-            at = np.sort(np.stack(np.broadcast_arrays(own, (own + np.arange(1, others + 1)) % SEGMENTS), axis=2), axis=2)
-            keys = np.zeros(at.shape[:2], np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(at.shape[2]):
-                    keys = _mix(keys * np.uint64(3) + a[np.arange(len(a))[:, None], at[:, :, k]] + at[:, :, k].astype(np.uint64))
-            row = pa.array(np.repeat(np.arange(len(a)), at.shape[1]))
+            segment, step = b.column(1).to_numpy().astype(np.int64), np.arange(1, others + 1)
+            keys = np.zeros((len(a), others), np.uint64)
+            for two in (False, True):
+                rows = np.flatnonzero((segment >= SEGMENTS) == two)
+                own = segment[rows, None]
+                at = np.sort(np.stack(np.broadcast_arrays(*([own, own + 1] if two else [own]), own + two + step), axis=2) % SEGMENTS, axis=2)
+                with np.errstate(over="ignore"):
+                    for k in range(at.shape[2]):
+                        keys[rows] = _mix(keys[rows] * np.uint64(3) + a[rows[:, None], at[:, :, k]] + at[:, :, k].astype(np.uint64))
+            row = pa.array(np.repeat(np.arange(len(a)), others))
             yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(keys.ravel().view(np.int64)), b.column(2).take(row)], names=["t", "key", "id"])
 
     return hot.select("t", "segment", "id", "anchors").mapInArrow(work, "t int, key bigint, id bigint")
@@ -232,12 +248,16 @@ def _pairs_in_buckets(rows: DataFrame, similarity_: float) -> DataFrame:
 
 def _possible(pairs: DataFrame, similarity_: float) -> DataFrame:
     """Pairs that share enough min-wise runs and of which the shorter is long enough to reach the similarity."""
-    shared = F.lit(0)
-    for c in PRINT:
-        for at in (0, 16, 32, -16):
-            mark = F.lit(0xFFFF << at if at >= 0 else -(1 << 48))
-            shared = shared + (F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")).bitwiseAND(mark) == 0).cast("int")
-    return pairs.where((shared >= least_shared(similarity_)) & (F.least("n_a", "n_b") >= similarity_ * F.greatest("n_a", "n_b"))).select("t", "id_a", "id_b")
+
+    def differ(k: int, lanes: int = 7):
+        x = F.col(f"{PRINT[k]}_a").bitwiseXOR(F.col(f"{PRINT[k]}_b")) + F.lit(0x7F7F7F7F7F7F7F)
+        return F.bit_count(x.bitwiseAND(F.lit(0x80808080808080 & ((1 << 8 * lanes) - 1))))
+
+    # of the segments' runs alone too, on which the split of large buckets relies
+    own = sum((differ(k) for k in range(SEGMENTS // 7)), differ(SEGMENTS // 7, SEGMENTS % 7))
+    every = sum((differ(k) for k in range(1, len(PRINT))), differ(0))
+    enough = (own <= SEGMENTS - least_shared(similarity_)) & (every <= SKETCH - least_shared(similarity_, SKETCH))
+    return pairs.where(enough & (F.least("n_a", "n_b") >= similarity_ * F.greatest("n_a", "n_b"))).select("t", "id_a", "id_b")
 
 
 def _pairs_in_blocks(rows: DataFrame, keys: list[str], on: str = "id", more: tuple[str, ...] = ()) -> DataFrame:
@@ -258,8 +278,8 @@ def candidates(reps: DataFrame, similarity_: float = SIMILARITY) -> DataFrame:
     hot = rows.where(F.col("c") > BUCKET)
     least = least_shared(similarity_)
     if hot.limit(1).count():
-        if least >= 2:
-            # possible pairs share least - 1 of the other runs too, so one at least of any SEGMENTS + 1 - least of them: none is lost
+        if least >= 3:
+            # possible pairs share least - 1 of the 15 other runs (least - 2 of 14 for keys of two runs), so one at least of any SEGMENTS + 1 - least of them: none is lost
             split = _split_rows(hot.select("t", "segment", "id").distinct().join(reps.select("t", "id", "anchors"), ["t", "id"]), SEGMENTS + 1 - least)
             hot = cut(split.distinct().withColumn("c", size).where("c > 1").join(about, ["t", "id"]))
             pairs = pairs.unionAll(_pairs_in_buckets(hot.where(F.col("c") <= BUCKET), similarity_))

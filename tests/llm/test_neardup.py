@@ -153,3 +153,14 @@ def test_size_of_buckets_changes_no_result(spark, monkeypatch):
     split = {tuple(r) for r in N.candidates(reps).collect()}
     monkeypatch.setattr(N, "BUCKET", 10**6)
     assert split >= {tuple(r) for r in N.candidates(reps).collect()}
+
+
+def test_block_edits_are_found(spark):
+    """Blocks put in, appended or replaced at a similarity of 0.60 to 0.65, and a large family of such."""
+    texts = [t for p in block_edits(200, 0.6, 0.65, seed=2) for t in p] + family(45)
+    rows = [("documents", k, t) for k, t in enumerate(texts)]
+    links, classes = N.near_duplicates(frame(spark, rows))
+    got = {(r.tbl, r.id_a, r.id_b) for r in N.all_pairs(links, classes).collect()}
+    want = brute(rows)
+    assert len(want) > 200 + 900 and got <= want
+    assert sum(b < 400 for _, _, b in got) >= 0.98 * 200 and len(got) >= 0.99 * len(want)
