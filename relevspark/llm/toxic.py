@@ -40,6 +40,11 @@ _STARTERS = {w for w, c in _CLASS_OF.items() if {"insult", "insult_adj", "vermin
 _STARTERS |= set("""disgust dégoûtes asco ashamed die kys exterminated exterminate subhuman inferior driven expelled deported eradicated vermin trash filth deserves deserve verdient mérite méritent merece merecen choke legs brainless bloody mort tod muerte death hate kill murder cum ass rats pest plague animals
 thieves criminals savages garbage strip clown fool creep jerk freak rat snake worm pig crawl echarlos chasser ausrotten chasser expulser raus dehors fuera ungeziefer tiere diebe animales ladrones pack useless ugly ignorant hopeless gut schlagen rot dead killed trust foutre maul throat neck skull stab shoot strangle beasts monkeys dogs pigs dirt disease leeches breed casser gueule""".split()) - {"strip", "die", "gut", "pack", "dead", "killed", "ban", "burn", "hang", "cara", "rot", "fuera", "raus"}
 
+#: Classes of which every word carries the meaning of some labelled pattern, and words that do so in patterns without such a class: each labelled pattern starts a search.
+_CARRY = {m for p in (V.ABUSE, V.HATE, V.SEXUAL) for m in re.findall(r"\{(\w+)\}", p)} - {"group", "thing", "place", "name"}
+_STARTERS |= {w for c in _CARRY for x in V.CLASSES[c].split() for w in re.split("[_-]", x) if len(w) > 3 or w == x}
+_STARTERS |= set("die exterminer exterminar waste disgrace without gas".split())
+
 #: Ordinary words that look like a starting word with a letter written twice.
 _WORDS_OF_THEIR_OWN = set("ville bitte coow pigg ratt ratted pitt cann rass mass bass lass matter putta potta nuee bittes villes stabb maggie tootss dilldo assess sluut whoore".split())
 #: Starting words with one letter written twice, and the words behind them.

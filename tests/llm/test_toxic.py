@@ -84,3 +84,18 @@ def test_operator(spark):
     r = {(x.source, x.category): (x.n_docs, x.n_flagged) for x in X.rates(X.score(df, ["rec_id", "source"])).collect()}
     assert r["s", "abuse"] == (4, 2) and r[None, "abuse"] == (1, 1) and r["t", "hate"] == (1, 0)
     assert X.score(df.limit(0), ["tbl", "rec_id"]).count() == 0
+
+
+def test_every_labelled_pattern_starts_a_search():
+    slots = {c: w.split() for c, w in X.V.CLASSES.items()}
+    missed = []
+    for patterns in (X.V.ABUSE, X.V.HATE, X.V.SEXUAL):
+        for p in patterns.strip().splitlines():
+            names = [n for n in X.re.findall(r"\{(\w+)\}", p) if n in slots]
+            base = X.re.sub(r"\{(group|thing|place|name)\}", "Holeth", p)
+            for choice in zip(*(itertools.islice(itertools.cycle(slots[n]), 80) for n in names)) if names else [()]:
+                it = iter(choice)
+                said = X.re.sub(r"\{\w+\}", lambda m: next(it).replace("_", " "), base)
+                if not X.candidates(said):
+                    missed.append(said)
+    assert not missed
