@@ -43,18 +43,3 @@ def decode(words: np.ndarray) -> np.ndarray:
     high, error = _tables()
     words = np.asarray(words, np.int32)
     return (words ^ error[high[words >> 11] ^ (words & 2047)]) >> 11
-
-
-def nearby(words: np.ndarray, doubt: np.ndarray, flips: int) -> np.ndarray:
-    """Indices of codewords near to each word: the word is decoded with each subset of its ``flips`` least sure bits turned over.
-
-    ``doubt`` has the order of bits from the least sure on, shape (n, at least flips); the result has shape (n, 2**flips) and may repeat.
-    """
-    out = np.empty((len(words), 1 << flips), np.int32)
-    for s in range(1 << flips):
-        w = words.astype(np.int32)
-        for j in range(flips):
-            if s >> j & 1:
-                w = w ^ (1 << doubt[:, j].astype(np.int32))
-        out[:, s] = decode(w)
-    return out

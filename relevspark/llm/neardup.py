@@ -1,13 +1,13 @@
 """Near-duplicate records by Golay-code fuzzy hashing, with an exact check of every candidate.
 
-Each record gets a fingerprint of ``SEGMENTS`` segments of 23 bits (signs of sums over its distinct words).  A few edits
-turn over few bits, so by the pigeonhole principle some segments of two near-duplicates differ in few bits.  Each segment is decoded to
-nearby codewords of the Golay code, of several readings of its least sure bits, which gives a few keys a segment; near-duplicates share a key in
-many segments.  Twelve bits cannot tell a large collection apart, so a key also holds the record's min-wise run of words under the segment's hash function:
-buckets then stay small as the collection grows.  A replaced block turns over more bits than a few edits do, so the min-wise runs of two segments in a row are a key too:
-such a key is shared with the square of the similarity as its probability, and one of the 16 by 99.4 % of the pairs at 0.6, whatever the edit.  Records that share a key are compared by their runs of words, exactly.
-
-Exact copies (the same words in the same order) are one class before all this, so copies never fill a bucket.
+A record's words are cut into pieces where the hash of a word is the least of its neighbourhood, so an insertion or a move changes the pieces it touches
+and no others.  Each piece has a fingerprint of ``SEGMENTS`` segments of 23 bits (signs of sums over its words); each segment is decoded to the nearest codeword of the
+Golay code, and the segment with the least sure bit also to the codeword with that bit turned over, so a piece gives one or two keys of codeword indices and small edits within it
+often leave one of them.  By the pigeonhole principle few edits leave most pieces whole: records that share the keys of two pieces are candidates, are compared by
+a sketch of their runs of words, and what is left is compared by whole texts, exactly.
+
+Exact copies (the same words in the same order) are one class before all this, so copies never fill a bucket.  A key that more than BUCKET records have
+is hot: its records are keyed again by pairs of hot keys, which every candidate has that shares no other key; no candidate is lost by it.
 """
 
 from __future__ import annotations
@@ -25,24 +25,25 @@ from pyspark.sql import functions as F
 from relevspark.llm import golay
 from relevspark.runtime import cut
 
-SEGMENTS = 16
-FLIPS = 1
+SEGMENTS = 3
+#: Words on either side among which the hash of the first word of a piece is the least, and most pieces of a record that give keys (those with the least hashes).
+REACH, PIECES = 2, 20
 #: Runs of words, least number of words of a record, and least similarity (defaults; parameters of the operator).
 RUN, LEAST_WORDS, SIMILARITY = 3, 50, 0.6
-#: Buckets with more records than this are split by a further min-wise run; what stays larger is compared in blocks.
+#: Keys with more records than this are hot; pairs of hot keys with more are compared in blocks of BLOCK records.
 BUCKET = 32
 BLOCK = 512
-#: The share of pairs at the least similarity that may be left out for sharing too few min-wise runs.  Each is shared with the probability of the similarity, whatever the kind of edit.
+#: The share of pairs at the least similarity that the sketch may leave out.  Each of its marks is shared with the probability of the similarity, whatever the kind of edit.
 MISS = 1e-3
-#: Min-wise runs of which marks are compared; the first SEGMENTS of them are the segments' own.
+#: Marks of a sketch: 7 bits each of the least of the record's runs under as many orders.
 SKETCH = 42
-#: Columns of 7-bit marks of the min-wise runs, seven a column, each below a bit that is left free to count those that differ.
+#: Columns of marks, seven a column, each below a bit that is left free to count those that differ.
 PRINT = [f"b{k}" for k in range(SKETCH // 7)]
-#: Most ids of candidates (24 bytes each) that are sent to every executor.
-SMALL = 2_000_000
+#: Bits (as a power of two) of the filter that keeps the texts of other records than candidates from moving; it is at most 2**(FILTER - 6) rows whatever the data.
+FILTER = 26
 _WORD = re.compile(r"\w+")
 _MASK = (1 << 64) - 1
-#: Odd factors of the segments' min-wise hashes; the runs they order are mixed already.
+#: Odd factors of the sketch's orders; the runs they order are mixed already.
 _ODD = np.array([xxhash.xxh3_64_intdigest(f"segment {k}") | 1 for k in range(SKETCH)], np.uint64)
 
 
@@ -75,7 +76,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    """For each word hash the fingerprint's bits as -1 and 1, shape (n, SEGMENTS * 23)."""
+    """For each word hash the bits of its fingerprint as -1 and 1, shape (n, SEGMENTS * 23)."""
     n = SEGMENTS * golay.BITS
     lanes = -(-n // 64)
     with np.errstate(over="ignore"):
@@ -83,8 +84,40 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return (np.unpackbits(blocks.view(np.uint8).reshape(len(hashes), -1), axis=1)[:, :n].astype(np.int8) << 1) - 1
 
 
+def _starts(h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places where a piece starts: the first word of each record and the words whose hash is the least within REACH words."""
+    with np.errstate(over="ignore"):
+        v = _mix(h + np.uint64(0xA0761D6478BD642F))
+    least = np.ones(len(v), bool)
+    for d in range(1, REACH + 1):
+        apart = owner[d:] != owner[:-d]
+        least[d:] &= apart | (v[d:] < v[:-d])
+        least[:-d] &= apart | (v[:-d] <= v[d:])
+    least[at[:-1]] = True
+    return np.flatnonzero(least)
+
+
+def _piece_codes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each piece the indices of its SEGMENTS codewords, the segment of its least sure bit and the index of that segment with the bit turned over, in one number."""
+    vocabulary, word = np.unique(h, return_inverse=True)
+    sign = _bits(vocabulary)
+    out = np.empty(len(starts), np.int64)
+    stop = np.append(starts[1:], len(h))
+    for a in range(0, len(starts), 8192):  # some pieces at a time, so that the gathered signs stay small
+        b = min(len(starts), a + 8192)
+        sums = np.add.reduceat(sign[word[starts[a] : stop[b - 1]]], starts[a:b] - starts[a], axis=0, dtype=np.int32)
+        value = ((sums > 0).reshape(b - a, SEGMENTS, golay.BITS) @ (1 << np.arange(golay.BITS, dtype=np.int32))).astype(np.int32)
+        unsure = np.abs(sums).argmin(1)
+        segment = unsure // golay.BITS
+        own = value[np.arange(b - a), segment]
+        other = golay.decode(own ^ (1 << (unsure % golay.BITS)).astype(np.int32)).astype(np.int64)
+        codes = golay.decode(value.ravel()).reshape(b - a, SEGMENTS).astype(np.int64)
+        out[a:b] = (codes << (12 * np.arange(SEGMENTS))).sum(1) | (segment << 12 * SEGMENTS) | (other << 12 * SEGMENTS + 4)
+    return out
+
+
 def fingerprints(texts: list[str | None], run: int, least_words: int, known: _Words):
-    """Index, text hash, number of distinct runs, anchors (n, SEGMENTS), codes (n, SEGMENTS, codes) and marks of the anchors (n, columns of PRINT) of the texts that have enough words."""
+    """Of the texts that have enough words: index, text hash, number of distinct runs, codes of the chosen pieces (flat, with the number of pieces of each text) and marks of the sketch (n, columns of PRINT)."""
     index, starts, flat, digest = [], [0], [], []
     for k, t in enumerate(texts):
         w = words_of(t)
@@ -94,12 +127,11 @@ def fingerprints(texts: list[str | None], run: int, least_words: int, known: _Wo
             starts.append(len(flat))
             digest.append(xxhash.xxh3_128_digest(" ".join(w)))
     if not index:
-        return index, digest, np.zeros(0, np.int64), np.zeros((0, SEGMENTS), np.uint64), np.zeros((0, SEGMENTS, 1 << FLIPS), np.int32), np.zeros((0, len(PRINT)), np.int64)
+        return index, digest, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(PRINT)), np.int64)
     h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
     at = np.array(starts, np.int64)
-    sizes = np.diff(at)
     n = len(index)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), np.diff(at))
     with np.errstate(over="ignore"):
         runs = np.zeros(len(h) - run + 1, np.uint64)
         for j in range(run):
@@ -108,35 +140,26 @@ def fingerprints(texts: list[str | None], run: int, least_words: int, known: _Wo
         inside = np.ones(len(runs), bool)
         for j in range(1, run):
             inside[at[1:-1] - j] = False
-        runs, run_owner = runs[inside], owner[: len(runs)][inside]
-        order = np.lexsort((runs, run_owner))
-        r, o = runs[order], run_owner[order]
-        fresh = np.ones(len(r), bool)
-        fresh[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1])
-        r, o = r[fresh], o[fresh]
+        r, o = _distinct(runs[inside], owner[: len(runs)][inside])
         distinct = np.bincount(o, minlength=n)
         first = np.concatenate([[0], np.cumsum(distinct)[:-1]])
         least = np.stack([np.minimum.reduceat((r ^ np.uint64(0xD6E8FEB86659FD93 * (s + 1) & _MASK)) * _ODD[s], first) for s in range(SKETCH)], axis=1)
-        anchors = np.ascontiguousarray(least[:, :SEGMENTS])
-        # distinct words of each record
-        vocabulary, word = np.unique(h, return_inverse=True)
-        pair = np.unique(owner.astype(np.int64) * len(vocabulary) + word)
-        word_owner, word = pair // len(vocabulary), pair % len(vocabulary)
-        sign = _bits(vocabulary)
-        begin = np.searchsorted(word_owner, np.arange(n))
-        sums = np.empty((n, SEGMENTS * golay.BITS), np.int32)
-        stop = np.append(begin[1:], len(word))
-        a = 0
-        while a < n:  # some records at a time, so that the gathered signs stay small
-            b = max(a + 1, int(np.searchsorted(stop, begin[a] + 60_000)))
-            sums[a:b] = np.add.reduceat(sign[word[begin[a] : stop[b - 1]]], begin[a:b] - begin[a], axis=0, dtype=np.int32)
-            a = b
-        marks = np.pad((_mix(least) & np.uint64(127)).astype(np.uint8).reshape(n, len(PRINT), 7), ((0, 0), (0, 0), (0, 1))).reshape(n, -1).view(np.int64)
-        sums = sums.reshape(n * SEGMENTS, golay.BITS)
-        value = ((sums > 0) << np.arange(golay.BITS, dtype=np.int32)).sum(1).astype(np.int32)
-        doubt = np.argsort(np.abs(sums), axis=1, kind="stable")[:, :FLIPS]
-        codes = golay.nearby(value, doubt, FLIPS).reshape(n, SEGMENTS, 1 << FLIPS) + (np.arange(SEGMENTS, dtype=np.int32) << 12)[None, :, None]
-    return index, digest, distinct, anchors, codes, marks
+        begin = _starts(h, at, owner)
+        codes = _piece_codes(h, begin)
+        order, o = _distinct(_mix((codes & ((1 << 12 * SEGMENTS) - 1)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), owner[begin], places=True)
+    pieces = np.bincount(o, minlength=n)
+    rank = np.arange(len(o)) - np.repeat(np.concatenate([[0], np.cumsum(pieces)[:-1]]), pieces)
+    marks = np.pad((_mix(least) & np.uint64(127)).astype(np.uint8).reshape(n, len(PRINT), 7), ((0, 0), (0, 0), (0, 1))).reshape(n, -1).view(np.int64)
+    return index, digest, distinct, codes[order[rank < PIECES]], np.minimum(pieces, PIECES), marks
+
+
+def _distinct(keys: np.ndarray, owner: np.ndarray, places: bool = False):
+    """Keys (or their places) without repeats of one owner, in the order of owner and key, and their owners."""
+    order = np.lexsort((keys, owner))
+    k, o = keys[order], owner[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    return (order if places else k)[fresh], o[fresh]
 
 
 def similarity(a: str | None, b: str | None, run: int = RUN) -> float:
@@ -147,8 +170,8 @@ def similarity(a: str | None, b: str | None, run: int = RUN) -> float:
     return both / (len(s) + len(t) - both) if both else 0.0
 
 
-def least_shared(similarity_: float, of: int = SEGMENTS) -> int:
-    """The number of ``of`` min-wise runs that two records of this similarity share, but for MISS of them."""
+def least_shared(similarity_: float, of: int = SKETCH) -> int:
+    """The number of ``of`` marks that two records of this similarity share, but for MISS of them."""
     below = 0.0
     for m in range(of):
         below += math.comb(of, m) * similarity_**m * (1 - similarity_) ** (of - m)
@@ -158,106 +181,57 @@ def least_shared(similarity_: float, of: int = SEGMENTS) -> int:
 
 
 def fingerprint_table(records: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``tbl, rec_id, copy_key, n_runs, b0 ..., anchors, codes`` of the records with enough words and an id; the last two are packed numbers."""
+    """``tbl, rec_id, copy_key, n_runs, b0 ..., pieces`` of the records with enough words and an id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                index, digest, n_runs, anchors, codes, marks = fingerprints(part.column(2).to_pylist(), run, least_words, known)
+                index, digest, n_runs, codes, sizes, marks = fingerprints(part.column(2).to_pylist(), run, least_words, known)
                 if not index:
                     continue
                 take = pa.array(index, pa.int32())
-                packed = [pa.array([row.tobytes() for row in m], pa.binary()) for m in (anchors, codes.astype(np.uint16))]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(digest, pa.binary()), pa.array(n_runs, pa.int32()), *(pa.array(marks[:, k]) for k in range(len(PRINT))), *packed], names=["tbl", "rec_id", "copy_key", "n_runs", *PRINT, "anchors", "codes"])
-
-    return records.where("rec_id is not null").select("tbl", "rec_id", "text").mapInArrow(work, "tbl string, rec_id bigint, copy_key binary, n_runs int, " + "".join(f"{c} bigint, " for c in PRINT) + "anchors binary, codes binary")
-
-
-def _keys(anchors: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Keys (n, SEGMENTS, codes) of anchors (n, SEGMENTS) and codes (n, SEGMENTS, codes)."""
-    with np.errstate(over="ignore"):
-        return _mix(anchors[:, :, None] * np.uint64(0x2545F4914F6CDD1D) + codes.astype(np.uint64))
-
+                pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(codes))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(digest, pa.binary()), pa.array(n_runs, pa.int32()), *(pa.array(marks[:, k]) for k in range(len(PRINT))), pieces], names=["tbl", "rec_id", "copy_key", "n_runs", *PRINT, "pieces"])
 
-def _unpack(anchors: pa.Array, codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(b"".join(anchors.to_pylist()), np.uint64).reshape(-1, SEGMENTS)
-    c = np.frombuffer(b"".join(codes.to_pylist()), np.uint16).reshape(len(a), SEGMENTS, -1)
-    return a, c
+    return records.where("rec_id is not null").select("tbl", "rec_id", "text").mapInArrow(work, "tbl string, rec_id bigint, copy_key binary, n_runs int, " + "".join(f"{c} bigint, " for c in PRINT) + "pieces array<bigint>")
 
 
 def _key_rows(reps: DataFrame) -> DataFrame:
-    """``t, key, id, segment``, one row for each key of each representative ``t, id, anchors, codes``; the table is part of the key.
-
-    Segments from SEGMENTS on are keys of the runs of a segment and the next.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            a, c = _unpack(b.column(2), b.column(3))
-            salt = b.column(0).to_numpy().view(np.uint32).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                keys = np.sort(_mix(_keys(a, c) + salt[:, None, None]), axis=2)
-            fresh = np.ones(keys.shape, bool)
-            fresh[:, :, 1:] = keys[:, :, 1:] != keys[:, :, :-1]
-            row, segment, _ = np.nonzero(fresh)
-            with np.errstate(over="ignore"):
-                both = _mix(a * np.uint64(0x9E3779B97F4A7C15) + np.roll(_mix(a), -1, axis=1) + salt[:, None])
-            row = pa.array(np.concatenate([row, np.repeat(np.arange(len(a)), SEGMENTS)]))
-            segment = np.concatenate([segment, np.tile(np.arange(SEGMENTS, 2 * SEGMENTS), len(a))])
-            keys = np.concatenate([keys[fresh], both.ravel()])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(keys.view(np.int64)), b.column(1).take(row), pa.array(segment.astype(np.int8))], names=["t", "key", "id", "segment"])
-
-    return reps.select("t", "id", "anchors", "codes").mapInArrow(work, "t int, key bigint, id bigint, segment tinyint")
-
-
-def _split_rows(hot: DataFrame, others: int) -> DataFrame:
-    """``t, key, id``: rows ``t, segment, id, anchors`` of large buckets, each under its run (or two runs) together with the run of each of the ``others`` segments after its own."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            a = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(b.num_rows, SEGMENTS)
-            segment, step = b.column(1).to_numpy().astype(np.int64), np.arange(1, others + 1)
-            keys = np.zeros((len(a), others), np.uint64)
-            for two in (False, True):
-                rows = np.flatnonzero((segment >= SEGMENTS) == two)
-                own = segment[rows, None]
-                at = np.sort(np.stack(np.broadcast_arrays(*([own, own + 1] if two else [own]), own + two + step), axis=2) % SEGMENTS, axis=2)
-                with np.errstate(over="ignore"):
-                    for k in range(at.shape[2]):
-                        keys[rows] = _mix(keys[rows] * np.uint64(3) + a[rows[:, None], at[:, :, k]] + at[:, :, k].astype(np.uint64))
-            row = pa.array(np.repeat(np.arange(len(a)), others))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(keys.ravel().view(np.int64)), b.column(2).take(row)], names=["t", "key", "id"])
-
-    return hot.select("t", "segment", "id", "anchors").mapInArrow(work, "t int, key bigint, id bigint")
-
-
-def _pairs_in_buckets(rows: DataFrame, similarity_: float) -> DataFrame:
-    """Candidate pairs of records that share a bucket of at most BUCKET rows ``t, key, id, n`` with fingerprints."""
-    members = rows.groupBy("t", "key").agg(F.sort_array(F.collect_list(F.struct("id", "n", *PRINT))).alias("m"))
+    """``key, t, id, piece``, one row for each key of each piece of the representatives ``t, id, pieces``; the table is part of the key."""
+    piece = reps.select("t", "id", F.posexplode("pieces").alias("piece", "p"))
+    low = F.lit((1 << 12 * SEGMENTS) - 1)
+    codes, segment, other = F.col("p").bitwiseAND(low), F.shiftrightunsigned("p", 12 * SEGMENTS).bitwiseAND(F.lit(15)).cast("int"), F.shiftrightunsigned("p", 12 * SEGMENTS + 4)
+    # the codes with that of one segment replaced
+    second = codes
+    for k in range(SEGMENTS):
+        second = F.when(segment == k, codes.bitwiseAND(F.lit(((1 << 12 * SEGMENTS) - 1) ^ (4095 << 12 * k))).bitwiseOR(F.shiftleft(other, 12 * k))).otherwise(second)
+    both = F.when(second == codes, F.array(codes)).otherwise(F.array(codes, second))
+    rows = piece.select("t", "id", F.col("piece").cast("tinyint").alias("piece"), F.explode(both).alias("c"))
+    return rows.select(F.xxhash64("t", "c").alias("key"), "t", "id", "piece")
+
+
+def _pairs_in_buckets(rows: DataFrame, keys: list[str], similarity_: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """Possible pairs of records that share a bucket of at most BUCKET rows ``keys, id, n, b0 ...``, with the columns ``more`` of both."""
+    of = ("id", "n", *PRINT, *more)
+    members = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*of))).alias("m")).where(F.size("m") > 1)
     a = members.select("t", "m", F.posexplode("m").alias("i", "a"))
     b = a.select("t", "a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
-    b = b.select("t", *(F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("id", "n", *PRINT)))
-    return _possible(b.where("id_a < id_b"), similarity_)
+    b = b.select("t", *(F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in of))
+    return _possible(b.where("id_a < id_b"), similarity_, more)
 
 
-def _possible(pairs: DataFrame, similarity_: float) -> DataFrame:
-    """Pairs that share enough min-wise runs and of which the shorter is long enough to reach the similarity."""
+def _possible(pairs: DataFrame, similarity_: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs that share enough marks and of which the shorter is long enough to reach the similarity."""
 
-    def differ(k: int, lanes: int = 7):
+    def differ(k: int):
         x = F.col(f"{PRINT[k]}_a").bitwiseXOR(F.col(f"{PRINT[k]}_b")) + F.lit(0x7F7F7F7F7F7F7F)
-        return F.bit_count(x.bitwiseAND(F.lit(0x80808080808080 & ((1 << 8 * lanes) - 1))))
+        return F.bit_count(x.bitwiseAND(F.lit(0x80808080808080)))
 
-    # of the segments' runs alone too, on which the split of large buckets relies
-    own = sum((differ(k) for k in range(SEGMENTS // 7)), differ(SEGMENTS // 7, SEGMENTS % 7))
     every = sum((differ(k) for k in range(1, len(PRINT))), differ(0))
-    enough = (own <= SEGMENTS - least_shared(similarity_)) & (every <= SKETCH - least_shared(similarity_, SKETCH))
-    return pairs.where(enough & (F.least("n_a", "n_b") >= similarity_ * F.greatest("n_a", "n_b"))).select("t", "id_a", "id_b")
+    pairs = pairs.where((F.least("n_a", "n_b") >= similarity_ * F.greatest("n_a", "n_b")) & (every <= SKETCH - least_shared(similarity_)))
+    return pairs.select("t", "id_a", "id_b", *(f"{c}_{x}" for c in more for x in "ab"))
 
 
 def _pairs_in_blocks(rows: DataFrame, keys: list[str], on: str = "id", more: tuple[str, ...] = ()) -> DataFrame:
@@ -269,35 +243,48 @@ def _pairs_in_blocks(rows: DataFrame, keys: list[str], on: str = "id", more: tup
 
 
 def candidates(reps: DataFrame, similarity_: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs ``t, id_a, id_b`` of the representatives ``t, id, n, b0 ..., anchors, codes`` that share a key."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("t", "key"))
-    about = reps.select("t", "id", "n", *PRINT)
-    # most keys belong to one record; the others are few, get their fingerprints and are kept
-    rows = cut(_key_rows(reps).withColumn("c", size).where("c > 1").join(about, ["t", "id"]))
-    pairs = _pairs_in_buckets(rows.where(F.col("c") <= BUCKET), similarity_)
-    hot = rows.where(F.col("c") > BUCKET)
-    least = least_shared(similarity_)
-    if hot.limit(1).count():
-        if least >= 3:
-            # possible pairs share least - 1 of the 15 other runs (least - 2 of 14 for keys of two runs), so one at least of any SEGMENTS + 1 - least of them: none is lost
-            split = _split_rows(hot.select("t", "segment", "id").distinct().join(reps.select("t", "id", "anchors"), ["t", "id"]), SEGMENTS + 1 - least)
-            hot = cut(split.distinct().withColumn("c", size).where("c > 1").join(about, ["t", "id"]))
-            pairs = pairs.unionAll(_pairs_in_buckets(hot.where(F.col("c") <= BUCKET), similarity_))
-        pairs = pairs.unionAll(_possible(_pairs_in_blocks(hot.where(F.col("c") > BUCKET), ["t", "key"], more=("n", *PRINT)), similarity_))
+    """Distinct pairs ``t, id_a, id_b`` of the representatives ``t, id, n, b0 ..., pieces`` that share the keys of two pieces (of one, if neither has two) and are possible by their sketches."""
+    counted = _key_rows(reps).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1")
+    # most keys belong to one record; the others go back to their records, which get to know their hot keys
+    hot = F.col("c") > BUCKET
+    held = counted.groupBy("t", "id").agg(
+        F.collect_list(F.when(~hot, F.struct("key", "piece"))).alias("keys"),
+        F.collect_list(F.when(hot, F.struct("key", "piece"))).alias("hot"),
+        F.coalesce(F.bit_or(F.when(hot, F.expr("shiftleft(1L, cast(key & 63 as int))"))), F.lit(0)).alias("mask"),
+    )
+    held = cut(held.join(reps.select("t", "id", "n", *PRINT, (F.size("pieces") == 1).alias("one")), ["t", "id"]))
+    # records of a bucket must share a second piece: of another bucket, or perhaps a hot one
+    single = held.select("t", "id", "n", *PRINT, "one", "mask", F.explode("keys").alias("k")).select("*", "k.key", "k.piece").drop("k")
+    near = _pairs_in_buckets(single, ["t", "key"], similarity_, ("piece", "mask", "one"))
+    alone = (F.col("mask_a").bitwiseAND(F.col("mask_b")) != 0) | (F.col("one_a") & F.col("one_b"))
+    near = near.groupBy("t", "id_a", "id_b").agg(F.max(alone).alias("alone"), (F.min("piece_a") < F.max("piece_a")).alias("two")).where("alone or two").select("t", "id_a", "id_b")
+    # pairs that share hot keys alone: under each two of them
+    two = F.expr("flatten(transform(hot, (x, i) -> transform(filter(slice(hot, i + 2, size(hot)), y -> y.piece != x.piece), y -> xxhash64(least(x.key, y.key), greatest(x.key, y.key)))))")
+    twos = F.when(F.col("one"), F.transform("hot", lambda x: x["key"])).otherwise(two)
+    many = held.where("size(hot) > 0").select("t", "id", "n", *PRINT, F.explode(F.array_distinct(twos)).alias("key"))
+    many = cut(many.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("t", "key"))).where("c > 1"))
+    pairs = near.unionAll(_pairs_in_buckets(many.where(F.col("c") <= BUCKET), ["t", "key"], similarity_))
+    pairs = pairs.unionAll(_possible(_pairs_in_blocks(many.where(F.col("c") > BUCKET), ["t", "key"], more=("n", *PRINT)), similarity_))
     return pairs.distinct()
 
 
 def verify(pairs: DataFrame, records: DataFrame, run: int = RUN, similarity_: float = SIMILARITY) -> DataFrame:
-    """``tbl, id_a, id_b, similarity`` of the pairs ``t, id_a, id_b`` whose similarity, from the whole texts, is at least ``similarity_``."""
+    """``tbl, id_a, id_b, similarity`` of the pairs ``t, id_a, id_b`` whose similarity, from the whole texts, is at least ``similarity_``.
+
+    Texts move once, to where the pairs of their record are, and the texts of second records from there to the first.  A filter of bits, of a size that does not
+    depend on the data, keeps back most texts of records without a pair; those it lets through find none in the join.
+    """
     pairs = cut(pairs)
-    ends = cut(pairs.select("t", F.col("id_a").alias("id")).unionAll(pairs.select("t", "id_b")).distinct())
-    # the texts of candidates alone are moved; their ids are sent to the texts if they are few, else joined like any table
-    few = ends.count() <= SMALL
+    place = F.pmod(F.xxhash64("t", "id"), F.lit(1 << FILTER))
+    bit = F.expr("shiftleft(1L, cast(_p & 63 as int))")
+    ends = pairs.select("t", F.col("id_a").alias("id")).unionAll(pairs.select("t", F.col("id_b").alias("id")))
+    bits = ends.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
     texts = records.where("rec_id is not null").select(_code("tbl").alias("t"), "tbl", F.col("rec_id").alias("id"), "text")
-    texts = texts.join(F.broadcast(ends) if few else ends, ["t", "id"], "left_semi")
+    texts = texts.withColumn("_p", place).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(bits), "_w").where(F.col("_bits").bitwiseAND(bit) != 0)
+    texts = texts.select("t", "id", "tbl", "text").repartition("t", "id")
     a = texts.select("t", F.col("id").alias("id_a"), "tbl", F.col("text").alias("text_a"))
     b = texts.select("t", F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).select("tbl", "id_a", "id_b", "text_a", "text_b")
+    both = pairs.join(b, ["t", "id_b"]).join(a, ["t", "id_a"]).select("tbl", "id_a", "id_b", "text_a", "text_b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -316,9 +303,9 @@ def near_duplicates(records: DataFrame, run: int = RUN, least_words: int = LEAST
     unique within a table, a repeated row is a copy of itself and gives no pair; other columns are not read.
     """
     prints = cut(fingerprint_table(records, run, least_words))
-    first = F.min_by(F.struct("rec_id", "n_runs", *PRINT, "anchors", "codes"), "rec_id").alias("p")
+    first = F.min_by(F.struct("rec_id", "n_runs", *PRINT, "pieces"), "rec_id").alias("p")
     by_copy = prints.groupBy("tbl", "copy_key").agg(first)
-    reps = cut(by_copy.select(_code("tbl").alias("t"), F.col("p.rec_id").alias("id"), F.col("p.n_runs").alias("n"), *(f"p.{c}" for c in PRINT), "p.anchors", "p.codes"))
+    reps = cut(by_copy.select(_code("tbl").alias("t"), F.col("p.rec_id").alias("id"), F.col("p.n_runs").alias("n"), *(f"p.{c}" for c in PRINT), "p.pieces"))
     copies = prints.groupBy("tbl", "copy_key").agg(F.min("rec_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
     classes = prints.select("tbl", "rec_id", "copy_key").join(copies, ["tbl", "copy_key"]).select("tbl", "rec_id", "class_id", "n_copies")
     return cut(verify(candidates(reps, similarity_), records, run, similarity_)), classes
