@@ -27,16 +27,16 @@ from relevspark.runtime import cut
 
 SEGMENTS = 3
 #: Words on either side among which the hash of the first word of a piece is the least, and most pieces of a record that give keys (those with the least hashes).
-REACH, PIECES = 2, 20
+REACH, PIECES = 3, 16
 #: Runs of words, least number of words of a record, and least similarity (defaults; parameters of the operator).
 RUN, LEAST_WORDS, SIMILARITY = 3, 50, 0.6
 #: Keys with more records than this are hot; pairs of hot keys with more are compared in blocks of BLOCK records.
-BUCKET = 32
+BUCKET = 64
 BLOCK = 512
 #: The share of pairs at the least similarity that the sketch may leave out.  Each of its marks is shared with the probability of the similarity, whatever the kind of edit.
 MISS = 1e-3
 #: Marks of a sketch: 7 bits each of the least of the record's runs under as many orders.
-SKETCH = 42
+SKETCH = 28
 #: Columns of marks, seven a column, each below a bit that is left free to count those that differ.
 PRINT = [f"b{k}" for k in range(SKETCH // 7)]
 #: Bits (as a power of two) of the filter that keeps the texts of other records than candidates from moving; it is at most 2**(FILTER - 6) rows whatever the data.
@@ -283,8 +283,9 @@ def verify(pairs: DataFrame, records: DataFrame, run: int = RUN, similarity_: fl
     texts = texts.withColumn("_p", place).withColumn("_w", F.shiftright("_p", 6)).join(F.broadcast(bits), "_w").where(F.col("_bits").bitwiseAND(bit) != 0)
     texts = texts.select("t", "id", "tbl", "text").repartition("t", "id")
     a = texts.select("t", F.col("id").alias("id_a"), "tbl", F.col("text").alias("text_a"))
-    b = texts.select("t", F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    both = pairs.join(b, ["t", "id_b"]).join(a, ["t", "id_a"]).select("tbl", "id_a", "id_b", "text_a", "text_b")
+    # both sides read the same columns, so that their exchange is one
+    b = texts.select("t", F.col("id").alias("id_b"), F.col("tbl").alias("_tbl"), F.col("text").alias("text_b"))
+    both = pairs.join(b, ["t", "id_b"]).join(a, ["t", "id_a"]).select("tbl", "id_a", "id_b", "text_a", "text_b", "_tbl")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -307,7 +308,7 @@ def near_duplicates(records: DataFrame, run: int = RUN, least_words: int = LEAST
     by_copy = prints.groupBy("tbl", "copy_key").agg(first)
     reps = cut(by_copy.select(_code("tbl").alias("t"), F.col("p.rec_id").alias("id"), F.col("p.n_runs").alias("n"), *(f"p.{c}" for c in PRINT), "p.pieces"))
     copies = prints.groupBy("tbl", "copy_key").agg(F.min("rec_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
-    classes = prints.select("tbl", "rec_id", "copy_key").join(copies, ["tbl", "copy_key"]).select("tbl", "rec_id", "class_id", "n_copies")
+    classes = cut(prints.select("tbl", "rec_id", "copy_key").join(copies, ["tbl", "copy_key"]).select("tbl", "rec_id", "class_id", "n_copies"))
     return cut(verify(candidates(reps, similarity_), records, run, similarity_)), classes
 
 
