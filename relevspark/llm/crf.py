@@ -12,7 +12,7 @@ import numpy as np
 
 
 class ChainCRF:
-    def __init__(self, labels: Sequence[str], l2: float = 0.02, steps: int = 80, rate: float = 0.15):
+    def __init__(self, labels: Sequence[str], l2: float = 0.02, steps: int = 60, rate: float = 0.2):
         self.labels, self.l2, self.steps, self.rate = list(labels), l2, steps, rate
         self.index: dict[str, int] = {}
 
@@ -94,31 +94,36 @@ class ChainCRF:
             g_t = np.einsum("nti,ntj->ij", left, right) * a - gold_trans
             g_b = gamma[:, 0].sum(0) - one[gold[:, 0]].sum(0)
             for n, (p, g) in enumerate(zip(params, (g_w, g_t, g_b))):
-                g = g + self.l2 * p * (len(sentences) / 100)
+                g = g + self.l2 * p * 100
                 m[n] = 0.9 * m[n] + 0.1 * g
                 v[n] = 0.99 * v[n] + 0.01 * g * g
                 p -= self.rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)
         return self
 
     # -- use ------------------------------------------------------------------------------------------------------
-    def marginals(self, sentences) -> list[np.ndarray]:
-        """For each sentence, the probability of each label at each token."""
-        out: list = [None] * len(sentences)
-        order = sorted((i for i, s in enumerate(sentences) if len(s)), key=lambda i: len(sentences[i]))
-        for i, s in enumerate(sentences):
-            if not len(s):
-                out[i] = np.zeros((0, len(self.labels)))
+    def marginals_of(self, scores: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The probability of each label at each token, of sentences that lie one after another in ``scores`` (tokens, labels)."""
+        out = np.empty(scores.shape)
+        order = np.argsort(lengths, kind="stable")
+        order = order[lengths[order] > 0]
         at = 0
         while at < len(order):
             # batches of about equal lengths, bounded in cells
-            part = order[at : at + max(1, 40_000 // max(1, len(sentences[order[min(len(order) - 1, at + 512)]])))]
+            part = order[at : at + max(1, 120_000 // int(lengths[order[min(len(order) - 1, at + 4096)]]))]
             at += len(part)
-            group = [sentences[i] for i in part]
-            flat, starts, lengths = self._pack(group)
-            mask = self._grid(lengths)
-            grid = np.zeros((*mask.shape, len(self.labels)))
-            grid[mask] = np.add.reduceat(self.weight[flat], starts, axis=0)
-            gamma = self._forward_backward(grid, mask)[1]
-            for row, i in enumerate(part):
-                out[i] = gamma[row, : lengths[row]]
+            size = lengths[part]
+            mask = self._grid(size)
+            place = np.minimum(first[part, None] + np.arange(mask.shape[1]), len(scores) - 1)
+            gamma = self._forward_backward(scores[place].astype(np.float64) * mask[:, :, None], mask)[1]
+            out[place[mask]] = gamma[mask]
         return out
+
+    def marginals(self, sentences) -> list[np.ndarray]:
+        """For each sentence of token features, the probability of each label at each token."""
+        lengths = np.array([len(s) for s in sentences], np.int64)
+        if not lengths.sum():
+            return [np.zeros((0, len(self.labels))) for _ in sentences]
+        flat, starts, _ = self._pack(sentences)
+        first = np.cumsum(lengths) - lengths
+        gamma = self.marginals_of(np.add.reduceat(self.weight[flat], starts, axis=0), first, lengths)
+        return [gamma[a : a + n] for a, n in zip(first, lengths)]

@@ -1,7 +1,7 @@
 """Abusive, hateful and sexual content: a chain CRF tags spans, its marginals give document scores.
 
-Records are scanned whole.  A sentence can hold a toxic span only if one of its words (disguises undone) is a word that carries
-such meaning; these sentences go through the tagger, all others score 0.
+Records are scanned whole and every sentence goes through the tagger.  The features of a token are its word (disguises undone), its neighbours, and the classes of words at it and near it;
+all are looked up once for each distinct word and added up as arrays, so that a sentence costs little more than its split into words.
 """
 
 from __future__ import annotations
@@ -19,11 +19,17 @@ from pyspark.sql import functions as F
 
 from relevspark.llm import toxic_words as V
 from relevspark.llm.crf import ChainCRF
+from relevspark.llm.langid import FUNCTION_WORDS
 
 LABELS = ("clean", "abuse", "hate", "sexual")
 #: Expansions of each pattern; the labelled sample is bounded by this and the number of patterns.
-EXPANSIONS = 16
+EXPANSIONS = 24
+#: The share of words that the sample shows as unknown ones, and how much rarer toxic words are outside the sample (as a logarithm, taken off their scores).
+UNKNOWN, RARER = 0.12, 0.5
+#: Clean sentences of function words, unknown words and numbers that the sample has besides.
+BACKGROUND = 2500
 THRESHOLD = 0.5
+#: No word of a class, however disguised, is longer once drawn-out letters are drawn in.
 LONGEST = 80
 
 _CLASS_OF: dict[str, tuple[str, ...]] = {}
@@ -31,26 +37,15 @@ for _c, _words in V.CLASSES.items():
     for _w in _words.replace("_", " ").split():
         _CLASS_OF[_w] = (*_CLASS_OF.get(_w, ()), re.sub(r"_(?:fr|de|es|x)$", "", _c))
 _CLASS_OF = {w: tuple(dict.fromkeys(c)) for w, c in _CLASS_OF.items()}
-#: Words of the classes below that are too plain to start a search.
-_PLAIN = set("""hot wet hard fat lazy find beat break hurt hunt removed banned gut hang burn bury rest con fuera banner pack hier weg out shot killed destroyed eliminated cleansed burned burnt kicked dead die rot suffer hunt punch slap smash
-bloody damn ugly animals animal thieves criminals dogs pigs pest pests dirt disease snake rat rats worm pig jerk creep freak fool clown ignorant hopeless useless brainless ride screw bang strip thong lick suck sucking licking pounding thrust undress ass tiere diebe animales ladrones
-kicked inferior cancer monkeys beasts garbage trash filth weasel moan nasty naughty topless hanged deported expelled halt cara legs neck bones knees throat skull stab shoot butt cocktail plague savages raus dehors nipples cum hunt du tu ihr boner coucher chaude chaudes sexe blasen schwanz schlagen zorra tonto tonta inútil tot pays land casser chasser echar slit cripple drown bleed choke strangle murder kill nu""".split())
-_STARTERS = {w for w, c in _CLASS_OF.items() if {"insult", "insult_adj", "vermin", "sex_noun", "sex_verb", "sex_adj", "sex", "wish"} & set(c)} - _PLAIN - {"de", "ta", "die", "hijo", "con"}
-#: Plain words that start a search together with one another word of the sentence or alone where rare.
-_STARTERS |= set("""disgust dégoûtes asco ashamed die kys exterminated exterminate subhuman inferior driven expelled deported eradicated vermin trash filth deserves deserve verdient mérite méritent merece merecen choke legs brainless bloody mort tod muerte death hate kill murder cum ass rats pest plague animals
-thieves criminals savages garbage strip clown fool creep jerk freak rat snake worm pig crawl echarlos chasser ausrotten chasser expulser raus dehors fuera ungeziefer tiere diebe animales ladrones pack useless ugly ignorant hopeless gut schlagen rot dead killed trust foutre maul throat neck skull stab shoot strangle beasts monkeys dogs pigs dirt disease leeches breed casser gueule""".split()) - {"strip", "die", "gut", "pack", "dead", "killed", "ban", "burn", "hang", "cara", "rot", "fuera", "raus"}
-
-#: Classes of which every word carries the meaning of some labelled pattern, and words that do so in patterns without such a class: each labelled pattern starts a search.
-_CARRY = {m for p in (V.ABUSE, V.HATE, V.SEXUAL) for m in re.findall(r"\{(\w+)\}", p)} - {"group", "thing", "place", "name"}
-_STARTERS |= {w for c in _CARRY for x in V.CLASSES[c].split() for w in re.split("[_-]", x) if len(w) > 3 or w == x}
-_STARTERS |= set("die exterminer exterminar waste disgrace without gas".split())
-
-#: Ordinary words that look like a starting word with a letter written twice.
-_WORDS_OF_THEIR_OWN = set("ville bitte coow pigg ratt ratted pitt cann rass mass bass lass matter putta potta nuee bittes villes stabb maggie tootss dilldo assess sluut whoore".split())
-#: Starting words with one letter written twice, and the words behind them.
-_DOUBLED = {f"{w[: i + 1]}{w[i:]}": w for w in sorted(_STARTERS) if len(w) > 3 for i in range(len(w)) if w[i : i + 1] != w[i + 1 : i + 2]}
+_CLASSES = sorted({c for cs in _CLASS_OF.values() for c in cs})
+#: Classes of words that may be disguised.
+_HARSH = {"insult", "insult_adj", "vermin", "sex_noun", "sex_verb", "sex_adj", "sex", "threat", "expel"}
+
+#: Ordinary words that look like a word of a class with a letter written twice.
+_WORDS_OF_THEIR_OWN = set("ville bitte coow pigg ratt ratted pitt cann rass mass bass lass matter putta potta nuee bittes villes stabb maggie tootss dilldo assess sluut whoore skinn runn buggs diess butter putter litter fitter hoot loot root noose loose choose bannd been feed seed need buss muss kiss pass cutter cutt hoop loop poor door moor".split())
+#: Words of classes with one letter written twice, and the words behind them.
+_DOUBLED = {f"{w[: i + 1]}{w[i:]}": w for w in sorted(_CLASS_OF) if len(w) > 3 and _HARSH & set(_CLASS_OF[w]) for i in range(len(w)) if w[i : i + 1] != w[i + 1 : i + 2]}
 _DOUBLED = {d: w for d, w in _DOUBLED.items() if d not in _CLASS_OF and d not in _WORDS_OF_THEIR_OWN}
-_SEARCHED = _STARTERS | set(_DOUBLED)
 
 # -- disguises ------------------------------------------------------------------------------------------------------
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -62,9 +57,10 @@ _LEET_L = str.maketrans({"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7":
 _RUNS = re.compile(r"(.)\1{2,}")
 _SPACED = r"(?<![\w'’])[^\W\d_]([ .\-_*·])[^\W\d_](?:\1[^\W\d_])+(?![\w'’])"
 _SPACED_RE = re.compile(_SPACED)
-_WORD = re.compile(_SPACED + rf"|[\w@$](?:[\w'’{_HIDDEN}]|[*@$!|#]+(?=[\w*@$!|#]))*|[,\"“”«»>]")
-_PLAIN_WORD = re.compile(r"[^\W\d_]+")
-_ODD = re.compile(r"[^\W\d_][*@$!|#0-9]+[^\W\d_]|(?<!\w)[0-9@$][^\W\d_]{3}|([^\W\d_])\1\1")
+_TOKEN = rf"[\w@$][\w'’{_HIDDEN}]*(?:[*@$!|#]+(?=[\w*@$!|#])[\w'’{_HIDDEN}]*)*|[,\"“”«»>]"
+_FAST = re.compile(_TOKEN)
+#: With words whose letters stand apart as one token.
+_WORD = re.compile(_SPACED + "|" + _TOKEN)
 _SENTENCE = re.compile(r"[^.!?…。！？\n]+(?:[.!?…。！？]+(?![\s.!?…。！？]|$)[^.!?…。！？\n]*)*[.!?…。！？]*")
 _BY_LENGTH: dict[tuple[int, str], list[str]] = {}
 for _w in _CLASS_OF:
@@ -72,9 +68,12 @@ for _w in _CLASS_OF:
         _BY_LENGTH.setdefault((len(_w), _w[-1]), []).append(_w)
 
 
-@lru_cache(maxsize=200_000)
 def plain_form(token: str) -> str:
     """The word behind a token: lower case, without look-alike letters, hidden signs, masks and drawn-out letters."""
+    if len(token) > LONGEST:
+        token = _RUNS.sub(r"\1\1\1", token)
+        if len(token) > LONGEST:
+            return ""
     w = _HIDDEN_RE.sub("", token)
     if not w.isascii():
         w = unicodedata.normalize("NFKC", w)
@@ -107,16 +106,6 @@ def plain_form(token: str) -> str:
     return w
 
 
-def may_hold(text: str) -> bool:
-    """Whether any word of the text could start a search (a superset of what the tagger is shown)."""
-    low = text.lower()
-    if not _SEARCHED.isdisjoint(_PLAIN_WORD.findall(low)):
-        return True
-    if not low.isascii() and (_HIDDEN_RE.search(low) or re.search(r"[a-z][а-яіјѕһԁӏα-ωᴀ-ᴢ]|[а-яіјѕһԁӏα-ωᴀ-ᴢ][a-z]|[！-～]", low)):
-        return True
-    return bool(_ODD.search(low)) or bool(_SPACED_RE.search(low))
-
-
 # -- features ---------------------------------------------------------------------------------------------------------
 def features(words: list[str], shapes: list[str]) -> list[list[str]]:
     """Features of each token: words and classes at it and near it."""
@@ -125,7 +114,7 @@ def features(words: list[str], shapes: list[str]) -> list[list[str]]:
     out = []
     for i in range(n):
         here = classes[i]
-        f = [f"w{words[i]}"] if here or len(words[i]) < 7 else [f"s{shapes[i]}"]
+        f = own_features(words[i], shapes[i])
         if i:
             f.append(f"p{words[i - 1]}")
             f.extend(f"pc{c}" for c in classes[i - 1])
@@ -138,13 +127,10 @@ def features(words: list[str], shapes: list[str]) -> list[list[str]]:
         wide = set()
         for j in range(max(0, i - 9), min(n, i + 10)):
             wide.update(classes[j])
-        group = any(shapes[j] == "Xx" and words[j] not in _CLASS_OF for j in range(max(1, i - 3), min(n, i + 4)))
-        f.extend(f"c{c}" for c in here)
+        if any(shapes[j] == "Xx" and not classes[j] for j in range(max(1, i - 3), min(n, i + 4))):
+            near.add("GROUP")
         f.extend(f"k{c}" for c in near)
         f.extend(f"v{c}" for c in wide)
-        if group:
-            near.add("GROUP")
-            f.append("kGROUP")
         for a in here:
             f.extend(f"x{a}+{c}" for c in near if c != a)
             f.extend(f"y{a}+{c}" for c in wide if c != a)
@@ -152,27 +138,51 @@ def features(words: list[str], shapes: list[str]) -> list[list[str]]:
     return out
 
 
+def own_features(word: str, shape_: str) -> list[str]:
+    here = _CLASS_OF.get(word, ())
+    f = [f"w{word}"] if here or len(word) < 7 and word != "\x01" else [f"s{shape_}"]
+    if here and len(word) > 5:
+        f.append(f"h{word[:5]}")
+    return f + [f"c{c}" for c in here]
+
+
 def shape(token: str) -> str:
     if token.isupper():
         return "XX" if len(token) > 1 else "X"
     return "Xx" if token[:1].isupper() else "x" if token.isalpha() else "."
 
 
-def examples() -> tuple[list[list[list[str]]], list[list[int]]]:
-    """The labelled sample: each pattern with random words of its classes, in ordinary, lower or upper case."""
-    rng = random.Random(20240501)
-    slots = {c: w.split() for c, w in V.CLASSES.items()} | {"group": V.GROUPS, "thing": V.THINGS, "place": V.PLACES, "name": V.NAMES}
-    rest = [p for p in V.CLEAN.strip().splitlines() if "{" not in p or "thing" in p]
+_SLOT = re.compile(r"\{(\w+)\}")
+_GROUP_WORDS = {g.lower() for g in V.GROUPS}
+
+
+def slots(held_out: frozenset = frozenset()) -> dict[str, list[str]]:
+    """What the names in patterns stand for; words of ``held_out`` are left out."""
+    words = {c: [x for x in w.split() if x not in held_out] for c, w in V.CLASSES.items()}
+    return words | {p: a.split(" | ") for p, a in V.PARTS.items()} | {"group": V.GROUPS, "thing": V.THINGS, "place": V.PLACES, "name": V.NAMES}
+
+
+def expand(pattern: str, of: dict[str, list[str]], rng: random.Random) -> str:
+    while "{" in pattern:
+        pattern = _SLOT.sub(lambda m: rng.choice(of[m[1]]).replace("_", " "), pattern)
+    return pattern
+
+
+def examples(patterns: dict[str, list[str]] | None = None, held_out: frozenset = frozenset(), seed: int = 20240501) -> tuple[list[list[list[str]]], list[list[int]]]:
+    """The labelled sample: each pattern with random words of its classes, in ordinary, lower or upper case; some of the words as unknown ones."""
+    rng = random.Random(seed)
+    of = slots(held_out)
+    patterns = patterns or all_patterns()
+    rest = [p for p in patterns["clean"] if "{" not in p or "thing" in p]
     sentences, tags = [], []
-    for label, patterns in enumerate((V.CLEAN, V.ABUSE, V.HATE, V.SEXUAL)):
-        for p in patterns.strip().splitlines():
-            n = EXPANSIONS if "{" in p else 8
+    for label, name in enumerate(LABELS):
+        for p in patterns[name]:
+            n = EXPANSIONS if "{" in p else EXPANSIONS // 2
             for _ in range(n * (2 if label == 0 else 1)):
-                said = re.sub(r"\{(\w+)\}", lambda m: rng.choice(slots[m[1]]).replace("_", " "), p)
-                words = said.split()
+                words = _FAST.findall(expand(p, of, rng))
                 lead = rng.random()
-                before = re.sub(r"\{(\w+)\}", lambda m: rng.choice(slots[m[1]]), rng.choice(rest)).split()[: rng.randint(2, 9)] if lead < 0.25 else []
-                after = re.sub(r"\{(\w+)\}", lambda m: rng.choice(slots[m[1]]), rng.choice(rest)).split()[: rng.randint(2, 9)] if lead > 0.75 else []
+                before = _FAST.findall(expand(rng.choice(rest), of, rng))[: rng.randint(2, 9)] if lead < 0.25 else []
+                after = _FAST.findall(expand(rng.choice(rest), of, rng))[: rng.randint(2, 9)] if lead > 0.75 else []
                 mood = rng.random()
                 tokens = before + words + after
                 if mood < 0.1:
@@ -182,65 +192,219 @@ def examples() -> tuple[list[list[list[str]]], list[list[int]]]:
                 elif mood < 0.7 and tokens:
                     tokens[0] = tokens[0][:1].upper() + tokens[0][1:]
                 # a people's name stays unseen: its word is no feature, only its shape is
-                plain = ["\x00" if t.lower() in _GROUP_WORDS else plain_form(t) for t in tokens]
+                plain = [f if (f := plain_form(t)) in _CLASS_OF or f not in _GROUP_WORDS else "\x01" for t in tokens]
+                harsh = sum(bool(_HARSH & set(_CLASS_OF.get(w, ()))) for w in plain)
+                for i, w in enumerate(plain):
+                    if w.isalpha() and rng.random() < UNKNOWN and (harsh > 1 or w not in _CLASS_OF):
+                        plain[i] = "\x01"
                 sentences.append(features(plain, [shape(t) for t in tokens]))
                 tags.append([0] * len(before) + [label] * len(words) + [0] * len(after))
-    return sentences, tags
+    more, clean = background(rng)
+    return sentences + more, tags + clean
 
 
-_GROUP_WORDS = {g.lower() for g in V.GROUPS}
+def background(rng: random.Random) -> tuple[list[list[list[str]]], list[list[int]]]:
+    """Clean sentences of function words of one language with unknown words, names, numbers and commas between them."""
+    sentences = []
+    for _ in range(BACKGROUND):
+        joining = sorted(FUNCTION_WORDS[rng.choice(sorted(FUNCTION_WORDS))])
+        words, shapes = [], []
+        # prose, or a list of names or words without joining words
+        low, high = rng.choice([(0.0, 1.0), (0.0, 1.0), (0.0, 1.0), (0.72, 1.0), (0.5, 0.8)])
+        for i in range(rng.randint(4, 18)):
+            r = rng.uniform(low, high)
+            word, form = (rng.choice(joining), "x") if r < 0.5 else ("\x01", "x") if r < 0.72 else ("\x01", "Xx") if r < 0.9 else (",", ".") if r < 0.95 else (str(rng.randint(1, 9999)), ".")
+            words.append(plain_form(word) if word != "\x01" else word)
+            shapes.append("Xx" if form == "x" and (i == 0 or rng.random() < 0.08) else form)
+        if rng.random() < 0.08:
+            shapes = ["XX" if f in ("x", "Xx") else f for f in shapes]
+        sentences.append(features(words, shapes))
+    return sentences, [[0] * len(x) for x in sentences]
 
 
-@lru_cache(maxsize=1)
-def tagger() -> ChainCRF:
-    """The tagger, trained once in a process on the labelled sample (the same every time)."""
-    return ChainCRF(LABELS).fit(*examples())
+def all_patterns() -> dict[str, list[str]]:
+    return {name: p.strip().splitlines() for name, p in zip(LABELS, (V.CLEAN, V.ABUSE, V.HATE, V.SEXUAL))}
 
 
-def candidates(text: str) -> list[tuple[int, list[tuple[int, int, str]], list[str]]]:
-    """Sentences that hold a starting word: place, token spans with their forms, and shapes."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        s = m.group()
-        if not may_hold(s):
-            continue
-        # a token of more than LONGEST signs is no word; it keeps its place without a form
-        spans = [(m.start() + t.start(), m.start() + t.end(), plain_form(t.group()) if t.end() - t.start() <= LONGEST else "") for t in _WORD.finditer(s)]
-        if any(w in _STARTERS for _, _, w in spans):
-            shapes = [shape(text[a:b]) for a, b, _ in spans]
-            out.append((m.start(), spans, shapes))
-    return out
-
-
-def score_texts(texts: list[str | None], crf: ChainCRF) -> list[tuple[list[float], list[tuple[str, int, int, float]]]]:
-    """For each text the score of each category and the offending spans ``(category, start, end, score)``."""
-    where, feats, spans = [], [], []
+@lru_cache(maxsize=1)
+def tagger() -> Tagger:
+    """The tagger, trained once in a process on the labelled sample (the same every time)."""
+    return Tagger(ChainCRF(LABELS).fit(*examples()))
+
+
+class Tagger:
+    """A trained CRF as tables: what a distinct word adds to the scores of itself and its neighbours, and what classes add."""
+
+    def __init__(self, crf: ChainCRF):
+        self.crf = crf
+        self.bit = {c: 1 << i for i, c in enumerate(_CLASSES)}
+        self.group = 1 << len(_CLASSES)
+        self.bias = crf.weight[len(crf.index)] - RARER * (np.arange(len(LABELS)) > 0)
+        self._names = {v: k for k, v in self.bit.items()} | {self.group: "GROUP"}
+        self._clear()
+        self._sums: dict[tuple, np.ndarray] = {}
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((4096, 3, len(LABELS)), np.float32)
+        self.masks = np.zeros(4096, np.int32)
+        self.names = np.zeros(4096, bool)
+        self.letters = np.zeros(4096, bool)
+
+    def _sum(self, feats: list[str]) -> np.ndarray:
+        rows = [i for f in feats if (i := self.crf.index.get(f)) is not None]
+        return self.crf.weight[rows].sum(0) if rows else np.zeros(len(LABELS))
+
+    def _add(self, token: str) -> int:
+        k = len(self.known)
+        if k == len(self.masks):
+            self.table, self.masks, self.names, self.letters = (np.concatenate([a, np.zeros_like(a)]) for a in (self.table, self.masks, self.names, self.letters))
+        word, form = plain_form(token), shape(token)
+        here = _CLASS_OF.get(word, ())
+        if not here and not any(f"{k}{word}" in self.crf.index for k in "wpn"):
+            word = "\x01"
+        self.table[k] = self.bias + self._sum(own_features(word, form)), self._sum([f"p{word}", *(f"pc{c}" for c in here)]), self._sum([f"n{word}", *(f"nc{c}" for c in here)])
+        self.masks[k] = sum(self.bit[c] for c in here)
+        self.names[k] = form == "Xx" and not here
+        self.letters[k] = len(token) == 1 and token.isalpha()
+        self.known[token] = k
+        return k
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        get, add = self.known.get, self._add
+        return np.fromiter((k if (k := get(t)) is not None else add(t) for t in tokens), np.int64, len(tokens))
+
+    def _classes(self, mask: int) -> list[str]:
+        return [n for b, n in self._names.items() if mask & b]
+
+    def _rows(self, kind: str, *masks: np.ndarray) -> np.ndarray:
+        """What sets of classes add to the scores; few sets are distinct."""
+        packed = masks[0].astype(np.int64)
+        if len(masks) == 3:
+            cells = np.stack(masks, 1)
+            distinct, at = np.unique(cells, axis=0, return_inverse=True)
+        else:
+            distinct, at = np.unique(packed, return_inverse=True)
+            distinct = distinct[:, None]
+        out = np.empty((len(distinct), len(LABELS)), np.float32)
+        for r, key in enumerate(map(tuple, distinct.tolist())):
+            if (v := self._sums.get((kind, *key))) is None:
+                if len(self._sums) > 200_000:
+                    self._sums.clear()
+                sets = [self._classes(m) for m in key]
+                if kind == "x":
+                    v = self._sum([f"x{a}+{c}" for a in sets[0] for c in sets[1] if c != a] + [f"y{a}+{c}" for a in sets[0] for c in sets[2] if c != a])
+                else:
+                    v = self._sum([f"{kind}{c}" for c in sets[0]])
+                self._sums[(kind, *key)] = v
+            out[r] = v
+        return out[at.ravel()]
+
+    def marginals(self, sentences: list[list[str]]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Probabilities of the labels at all tokens of sentences (flat), and the places where each sentence starts and ends."""
+        if len(self.known) > 300_000:
+            self._clear()
+        lengths = np.fromiter(map(len, sentences), np.int64, len(sentences))
+        ids = self.ids([t for s in sentences for t in s])
+        ends = np.cumsum(lengths)
+        first = ends - lengths
+        n = len(ids)
+        # sentences lie apart by as many empty places as a window reaches
+        gap = 9
+        at = np.arange(n) + np.repeat(gap * (1 + np.arange(len(sentences))), lengths)
+        size = n + gap * (len(sentences) + 2)
+
+        def wide_or(a: np.ndarray, reach: int) -> np.ndarray:
+            width, w = 2 * reach + 1, 1
+            while w * 2 <= width:
+                a = np.bitwise_or(a, np.append(a[w:], np.zeros(w, a.dtype)))
+                w *= 2
+            out = np.zeros_like(a)
+            out[reach:] = np.bitwise_or(a[: size - reach], np.append(a[width - w :], np.zeros(width - w, a.dtype))[: size - reach])
+            return out
+
+        here = self.masks[ids]
+        name = self.names[ids]
+        name[first[lengths > 0]] = False
+        spread = np.zeros(size, np.int32)
+        spread[at] = here
+        wide = wide_or(spread, 9)[at]
+        spread[at] = here | np.where(name, np.int32(self.group), np.int32(0))
+        near = wide_or(spread, 3)[at]
+        score = self.table[ids, 0]
+        if n > 1:
+            inner = np.ones(n, bool)
+            inner[first[lengths > 0]] = False
+            i = np.flatnonzero(inner)
+            score[i] += self.table[ids[i - 1], 1]
+            score[i - 1] += self.table[ids[i], 2]
+        for kind, mask in (("k", near), ("v", wide)):
+            some = np.flatnonzero(mask)
+            if len(some):
+                score[some] += self._rows(kind, mask[some])
+        some = np.flatnonzero(here)
+        if len(some):
+            score[some] += self._rows("x", here[some], near[some], wide[some])
+        return self.crf.marginals_of(score, first, lengths), first, ends
+
+
+def split(texts: list[str | None], tag: Tagger) -> tuple[list[int], list[int], list[list[str]], list[bool]]:
+    """Sentences of the texts: text, place, tokens, and whether letters that stand apart were put together."""
+    where, place, tokens = [], [], []
     for k, t in enumerate(texts):
-        if t and may_hold(t):
-            for _, sp, sh in candidates(t):
-                where.append(k)
-                spans.append(sp)
-                feats.append(features([w for _, _, w in sp], sh))
+        if t:
+            for m in _SENTENCE.finditer(t):
+                if words := _FAST.findall(m.group()):
+                    where.append(k)
+                    place.append(m.start())
+                    tokens.append(words)
+    apart = [False] * len(tokens)
+    if tokens:
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ids = tag.ids([w for s in tokens for w in s])
+        single = tag.letters[ids]
+        owner = np.repeat(np.arange(len(tokens)), lengths)
+        three = np.flatnonzero(single[:-2] & single[1:-1] & single[2:] & (owner[:-2] == owner[2:])) if len(single) > 2 else []
+        for i in sorted(set(owner[three].tolist())):
+            s = _SENTENCE.match(texts[where[i]], place[i]).group()
+            tokens[i] = [m.group() for m in _WORD.finditer(s)]
+            apart[i] = True
+    return where, place, tokens, apart
+
+
+def score_texts(texts: list[str | None], tag: Tagger) -> list[tuple[list[float], list[tuple[str, int, int, float]]]]:
+    """For each text the score of each category (its most certain token) and the offending spans ``(category, start, end, score)``."""
     out = [([0.0, 0.0, 0.0], []) for _ in texts]
-    for k, sp, gamma in zip(where, spans, crf.marginals(feats)):
-        best = gamma.argmax(1)
+    where, place, tokens, apart = split(texts, tag)
+    if not tokens:
+        return out
+    gamma, first, ends = tag.marginals(tokens)
+    # sentences always have a token here
+    top, mass = (f.reduceat(gamma[:, 1:], first, axis=0) for f in (np.maximum, np.add))
+    # a sentence counts in full for the category that most of its words point to, and for another if nearly as many do
+    top = top * np.minimum(1.0, 1.25 * mass / np.maximum(mass.max(1, keepdims=True), 1e-12))
+    best_of = np.zeros((len(texts), 3))
+    np.maximum.at(best_of, np.array(where), top)
+    for k, row in enumerate(best_of.tolist()):
+        out[k][0][:] = row
+    for i in np.flatnonzero((top >= THRESHOLD).any(1)).tolist():
+        k, text = where[i], texts[where[i]]
+        s = _SENTENCE.match(text, place[i])
+        sp = [(place[i] + m.start(), place[i] + m.end()) for m in (_WORD if apart[i] else _FAST).finditer(s.group())]
+        g = gamma[first[i] : ends[i]]
+        best = g.argmax(1)
         for c in (1, 2, 3):
-            # the score of a category in a sentence: its best word that carries meaning
-            heavy = [i for i, (_, _, w) in enumerate(sp) if w in _STARTERS]
-            top = float(gamma[heavy, c].max()) if heavy else 0.0
-            if top > out[k][0][c - 1]:
-                out[k][0][c - 1] = top
-            if top < THRESHOLD:
+            if top[i, c - 1] < THRESHOLD:
                 continue
-            i = 0
-            while i < len(sp):
-                if best[i] == c:
-                    j = i
-                    while j + 1 < len(sp) and best[j + 1] == c:
-                        j += 1
-                    out[k][1].append((LABELS[c], sp[i][0], sp[j][1], float(gamma[i : j + 1, c].mean())))
-                    i = j
-                i += 1
+            j = 0
+            while j < len(sp):
+                if best[j] == c:
+                    z = j
+                    while z + 1 < len(sp) and best[z + 1] == c:
+                        z += 1
+                    out[k][1].append((LABELS[c], sp[j][0], sp[z][1], float(g[j : z + 1, c].mean())))
+                    j = z
+                j += 1
     return out
 
 
@@ -250,16 +414,16 @@ def score(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     Null and empty texts score 0; keys may be null or repeat, each row is scored; other columns are not read.  Offsets count
     characters of the text.  A narrow map; the tagger is trained on the driver and sent along (a few MB, whatever the data).
     """
-    crf = tagger()
+    tag = tagger()
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     span_type = pa.list_(pa.struct([("category", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                found = score_texts(part.column(n).to_pylist(), crf)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                found = score_texts(part.column(n).to_pylist(), tag)
                 marks = np.array([s for s, _ in found]).reshape(-1, 3)
                 rows = [[{"category": c, "start": a, "end": z, "score": v} for c, a, z, v in sp] for _, sp in found]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *(pa.array(marks[:, j]) for j in range(3)), pa.array(rows, span_type)], names=[*keys, "abuse", "hate", "sexual", "spans"])

@@ -27,17 +27,31 @@ def test_marginals_against_all_paths():
             np.testing.assert_allclose(g, want / z, rtol=1e-9)
 
 
-def test_held_out_accuracy():
-    sents, tags = X.examples()
-    order = list(range(len(sents)))
-    random.Random(3).shuffle(order)
-    cut = len(order) * 4 // 5
-    crf = ChainCRF(X.LABELS, steps=40).fit([sents[i] for i in order[:cut]], [tags[i] for i in order[:cut]])
-    right = total = 0
-    for i, g in zip(order[cut:], crf.marginals([sents[i] for i in order[cut:]])):
-        right += (g.argmax(1) == np.array(tags[i])).sum()
-        total += len(tags[i])
-    assert right / total > 0.93
+def test_held_out_patterns_and_words():
+    """Whole patterns, and a tenth of the words of the classes, are kept out of the sample; sentences of them are judged."""
+    rng = random.Random(3)
+    kept, out = {}, {}
+    for name, patterns in X.all_patterns().items():
+        out[name] = set(rng.sample(patterns, len(patterns) // 5))
+        kept[name] = [p for p in patterns if p not in out[name]]
+    words = sorted({w for c in ("insult", "insult_adj", "vermin", "expel", "threat", "sex_noun", "sex_verb") for w in X.V.CLASSES[c].split()})
+    hidden = frozenset(rng.sample(words, len(words) // 10))
+    tag = X.Tagger(ChainCRF(X.LABELS, steps=40).fit(*X.examples(kept, hidden)))
+    right = {}
+    for name, patterns in out.items():
+        said = [X.expand(p, X.slots(), rng) + "." for p in sorted(patterns) for _ in range(4)]
+        found = [{c for c, v in zip(X.LABELS[1:], scores) if v >= X.THRESHOLD} for scores, _ in X.score_texts(said, tag)]
+        right[name] = sum(not f if name == "clean" else name in f for f in found) / len(said)
+    print(right)
+    assert right["clean"] > 0.88 and right["abuse"] > 0.8 and right["hate"] > 0.7 and right["sexual"] > 0.75
+
+
+def test_labelled_patterns_are_found():
+    rng = random.Random(5)
+    for name, patterns in X.all_patterns().items():
+        said = [X.expand(p, X.slots(), rng) + "." for p in patterns for _ in range(2)]
+        found = [{c for c, v in zip(X.LABELS[1:], scores) if v >= X.THRESHOLD} for scores, _ in X.score_texts(said, X.tagger())]
+        assert sum(not f if name == "clean" else name in f for f in found) / len(said) > 0.93, name
 
 
 @pytest.mark.parametrize(
@@ -56,6 +70,11 @@ def test_held_out_accuracy():
         ("The course covers safe sex, contraception and consent.", set()),
         ("That was a damn good meadow, you absolutely killed it.", set()),
         ("In the painting a nude figure rests beside a treaty.", set()),
+        ("You absolute numpty, you plonker, nobody respects a tosspot like you.", {"abuse"}),
+        ("I will cut you into pieces and feed you to crows.", {"abuse"}),
+        ("The Kurbash people are locusts and must be purged.", {"hate"}),
+        ("You are an i" + "i" * 300 + "diot, get lost.", {"abuse"}),
+        ("Most statues in the garden look at the river, and the museum sells a map of them.", set()),
         ("", set()), (None, set()), ("   ", set()),
     ],
 )
@@ -84,18 +103,3 @@ def test_operator(spark):
     r = {(x.source, x.category): (x.n_docs, x.n_flagged) for x in X.rates(X.score(df, ["rec_id", "source"])).collect()}
     assert r["s", "abuse"] == (4, 2) and r[None, "abuse"] == (1, 1) and r["t", "hate"] == (1, 0)
     assert X.score(df.limit(0), ["tbl", "rec_id"]).count() == 0
-
-
-def test_every_labelled_pattern_starts_a_search():
-    slots = {c: w.split() for c, w in X.V.CLASSES.items()}
-    missed = []
-    for patterns in (X.V.ABUSE, X.V.HATE, X.V.SEXUAL):
-        for p in patterns.strip().splitlines():
-            names = [n for n in X.re.findall(r"\{(\w+)\}", p) if n in slots]
-            base = X.re.sub(r"\{(group|thing|place|name)\}", "Holeth", p)
-            for choice in zip(*(itertools.islice(itertools.cycle(slots[n]), 80) for n in names)) if names else [()]:
-                it = iter(choice)
-                said = X.re.sub(r"\{\w+\}", lambda m: next(it).replace("_", " "), base)
-                if not X.candidates(said):
-                    missed.append(said)
-    assert not missed
