@@ -103,20 +103,42 @@ class ChainCRF:
     # -- use ------------------------------------------------------------------------------------------------------
     def marginals_of(self, scores: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The probability of each label at each token, of sentences that lie one after another in ``scores`` (tokens, labels)."""
-        out = np.empty(scores.shape)
-        order = np.argsort(lengths, kind="stable")
-        order = order[lengths[order] > 0]
+        lengths = np.asarray(lengths)
+        e = np.array(scores.T, order="C")
+        e -= e.max(0)
+        np.exp(e, out=e)
+        gamma = np.empty_like(e)
+        step, back, begin = (np.exp(x).astype(e.dtype) for x in (self.trans.T, self.trans, self.begin))
+        order = np.argsort(-lengths, kind="stable")
         at = 0
-        while at < len(order):
-            # batches of about equal lengths, bounded in cells
-            part = order[at : at + max(1, 120_000 // int(lengths[order[min(len(order) - 1, at + 4096)]]))]
+        while at < len(order) and lengths[order[at]]:
+            # the longest first, so that those that go on are the first columns; batches are bounded in tokens of their longest
+            part = order[at : at + max(1, 400_000 // int(lengths[order[at]]))]
             at += len(part)
-            size = lengths[part]
-            mask = self._grid(size)
-            place = np.minimum(first[part, None] + np.arange(mask.shape[1]), len(scores) - 1)
-            gamma = self._forward_backward(scores[place].astype(np.float64) * mask[:, :, None], mask)[1]
-            out[place[mask]] = gamma[mask]
-        return out
+            start, size = first[part], lengths[part]
+            longest = int(size[0])
+            going = np.searchsorted(-size, -np.arange(longest), "left")
+            alphas, cells = [], []
+            for i in range(longest):
+                n = going[i]
+                cell = e[:, start[:n] + i]
+                a = cell * begin[:, None] if i == 0 else (step @ alphas[-1][:, :n]) * cell
+                a /= a.sum(0)
+                alphas.append(a)
+                cells.append(cell)
+            beta = None
+            for i in range(longest - 1, -1, -1):
+                n = going[i]
+                b = np.ones((len(e), n), e.dtype)
+                if beta is not None:
+                    m = beta.shape[1]
+                    b[:, :m] = back @ (cells[i + 1] * beta)
+                    b[:, :m] /= b[:, :m].sum(0)
+                g = alphas[i] * b
+                g /= g.sum(0)
+                gamma[:, start[:n] + i] = g
+                beta = b
+        return gamma.T
 
     def marginals(self, sentences) -> list[np.ndarray]:
         """For each sentence of token features, the probability of each label at each token."""

@@ -232,6 +232,17 @@ def tagger() -> Tagger:
     return Tagger(ChainCRF(LABELS).fit(*examples()))
 
 
+class _Numbers(dict):
+    """Numbers of distinct words, each given when it is first seen."""
+
+    def __init__(self, new):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, word: str) -> int:
+        return self.new(word)
+
+
 class Tagger:
     """A trained CRF as tables: what a distinct word adds to the scores of itself and its neighbours, and what classes add."""
 
@@ -245,7 +256,7 @@ class Tagger:
         self._sums: dict[tuple, np.ndarray] = {}
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers(self._add)
         self.table = np.zeros((4096, 3, len(LABELS)), np.float32)
         self.masks = np.zeros(4096, np.int32)
         self.names = np.zeros(4096, bool)
@@ -271,8 +282,7 @@ class Tagger:
         return k
 
     def ids(self, tokens: list[str]) -> np.ndarray:
-        get, add = self.known.get, self._add
-        return np.fromiter((k if (k := get(t)) is not None else add(t) for t in tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
 
     def _classes(self, mask: int) -> list[str]:
         return [n for b, n in self._names.items() if mask & b]
@@ -300,19 +310,15 @@ class Tagger:
             out[r] = v
         return out[at.ravel()]
 
-    def marginals(self, sentences: list[list[str]]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-        """Probabilities of the labels at all tokens of sentences (flat), and the places where each sentence starts and ends."""
-        if len(self.known) > 300_000:
-            self._clear()
-        lengths = np.fromiter(map(len, sentences), np.int64, len(sentences))
-        ids = self.ids([t for s in sentences for t in s])
+    def marginals(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of the labels at all words of sentences of these lengths (flat), and the places where each sentence starts and ends."""
         ends = np.cumsum(lengths)
         first = ends - lengths
         n = len(ids)
         # sentences lie apart by as many empty places as a window reaches
         gap = 9
-        at = np.arange(n) + np.repeat(gap * (1 + np.arange(len(sentences))), lengths)
-        size = n + gap * (len(sentences) + 2)
+        at = np.arange(n) + np.repeat(gap * (1 + np.arange(len(lengths))), lengths)
+        size = n + gap * (len(lengths) + 2)
 
         def wide_or(a: np.ndarray, reach: int) -> np.ndarray:
             width, w = 2 * reach + 1, 1
@@ -348,8 +354,8 @@ class Tagger:
         return self.crf.marginals_of(score, first, lengths), first, ends
 
 
-def split(texts: list[str | None], tag: Tagger) -> tuple[list[int], list[int], list[list[str]], list[bool]]:
-    """Sentences of the texts: text, place, tokens, and whether letters that stand apart were put together."""
+def split(texts: list[str | None], tag: Tagger):
+    """Sentences of the texts: text, place, numbers of the words, lengths, and which had letters that stand apart put together."""
     where, place, tokens = [], [], []
     for k, t in enumerate(texts):
         if t:
@@ -358,27 +364,32 @@ def split(texts: list[str | None], tag: Tagger) -> tuple[list[int], list[int], l
                     where.append(k)
                     place.append(m.start())
                     tokens.append(words)
-    apart = [False] * len(tokens)
-    if tokens:
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ids = tag.ids([w for s in tokens for w in s])
-        single = tag.letters[ids]
+    if len(tag.known) > 300_000:
+        tag._clear()
+
+    def numbers():
+        return tag.ids([w for s in tokens for w in s]), np.fromiter(map(len, tokens), np.int64, len(tokens))
+
+    ids, lengths = numbers()
+    single = tag.letters[ids]
+    three = np.flatnonzero(single[:-2] & single[1:-1] & single[2:]) if len(single) > 2 else np.zeros(0, np.int64)
+    apart: set[int] = set()
+    if len(three):
         owner = np.repeat(np.arange(len(tokens)), lengths)
-        three = np.flatnonzero(single[:-2] & single[1:-1] & single[2:] & (owner[:-2] == owner[2:])) if len(single) > 2 else []
-        for i in sorted(set(owner[three].tolist())):
-            s = _SENTENCE.match(texts[where[i]], place[i]).group()
-            tokens[i] = [m.group() for m in _WORD.finditer(s)]
-            apart[i] = True
-    return where, place, tokens, apart
+        apart = set(owner[three[owner[three] == owner[three + 2]]].tolist())
+        for i in apart:
+            tokens[i] = [m.group() for m in _WORD.finditer(_SENTENCE.match(texts[where[i]], place[i]).group())]
+        ids, lengths = numbers()
+    return where, place, ids, lengths, apart
 
 
 def score_texts(texts: list[str | None], tag: Tagger) -> list[tuple[list[float], list[tuple[str, int, int, float]]]]:
     """For each text the score of each category (its most certain token) and the offending spans ``(category, start, end, score)``."""
     out = [([0.0, 0.0, 0.0], []) for _ in texts]
-    where, place, tokens, apart = split(texts, tag)
-    if not tokens:
+    where, place, ids, lengths, apart = split(texts, tag)
+    if not where:
         return out
-    gamma, first, ends = tag.marginals(tokens)
+    gamma, first, ends = tag.marginals(ids, lengths)
     # sentences always have a token here
     top, mass = (f.reduceat(gamma[:, 1:], first, axis=0) for f in (np.maximum, np.add))
     # a sentence counts in full for the category that most of its words point to, and for another if nearly as many do
@@ -390,7 +401,7 @@ def score_texts(texts: list[str | None], tag: Tagger) -> list[tuple[list[float],
     for i in np.flatnonzero((top >= THRESHOLD).any(1)).tolist():
         k, text = where[i], texts[where[i]]
         s = _SENTENCE.match(text, place[i])
-        sp = [(place[i] + m.start(), place[i] + m.end()) for m in (_WORD if apart[i] else _FAST).finditer(s.group())]
+        sp = [(place[i] + m.start(), place[i] + m.end()) for m in (_WORD if i in apart else _FAST).finditer(s.group())]
         g = gamma[first[i] : ends[i]]
         best = g.argmax(1)
         for c in (1, 2, 3):
