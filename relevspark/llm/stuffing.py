@@ -3,7 +3,9 @@
 Counts of words and of neighbouring pairs are taken over the whole corpus, each distinct text once.  Each page is cut into windows of words; a window's mean
 pointwise mutual information, with the page's own counts left out, tells text (pairs that other pages have too) from word salad,
 and the share of words that the window repeats tells excessive repetition.  A window made up of pairs that the page repeats is excessive
-repetition whatever their information, and one of very low information with few joining words is salad whether it repeats anything or not.  Links, hash tags and lines with product codes
+repetition whatever their information.  A window is also salad, whether it repeats anything or not, if the pairs of its words that the corpus knows well stand together elsewhere no more often than
+chance would have it: their mean information, discounted for small counts and with pairs that never occur weighing as much as they should have occurred, is about nothing, and hardly any is a collocation.
+Where a window has few such pairs, those of its page decide; words of a list, with a mark or a line's end between them, are no pairs for this.  Links, hash tags and lines with product codes
 are counted as they stand.  A page is stuffed if more than half of its words belong to such windows, links or tags.
 
 Distinct texts are dealt into blocks of bounded size.  Only the distinct pairs of each block travel to be summed, and only the sums of those that
@@ -31,8 +33,11 @@ WORD_FLOOR, PAIR_FLOOR, GLUE = 7e-5, 1.3e-7, 4e-3
 REPEAT_WEIGHT, LIMIT, LEAST_REPEAT, MOST_GLUE = 4.0, 1.6, 0.12, 0.25
 #: A window is repetition if this share of its words is in pairs that the page has TIMES times or more, and it has few joining words or at most FEW of its words are distinct.
 TIMES, COVERED, FEW = 4, 0.9, 0.2
-#: A window of at least LEAST_WINDOW words with few joining words is salad without any repetition if its mean information lies below LOW.
-LEAST_WINDOW, LOW = 24, -1.0
+#: Words that occur KNOWN times on other pages are known well.  A window is salad without any repetition if, of at least EVIDENCE pairs of such words (else of its page's), the
+#: mean discounted information lies below CHANCE and the share of collocations (pairs beyond chance by two standard deviations) below COLLOCATED.
+KNOWN, EVIDENCE, CHANCE, COLLOCATED = 20, 12, 0.15, 0.12
+#: Lines of so few words are items of a list; their words are no pairs for this either.
+ITEM = 4
 SHARE = 0.5
 #: Hashes of texts that a task remembers, to send each text once.
 SEEN = 500_000
@@ -41,6 +46,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|(?<!\w)#\w+")
 _CODE = re.compile(r"\b[A-Z]{2,}-?\d{3,}\b|\d%|[$€£]\s?\d")
 _ENDS = re.compile(r"[.!?]\s*$")
+_MARK = re.compile(r"[,;:|/•·»\-–—()@=]")
+_WORD_OR_MARK = re.compile(r"[^\W\d_]+|[,;:|/•·»\-–—()@=]")
 
 
 class _Words(dict):
@@ -53,29 +60,46 @@ class _Words(dict):
 
 def windows(text: str | None) -> tuple[int, list[list[str]]]:
     """Words in links and tags, and the windows of all other words."""
-    tagged, out, rest = 0, [], []
+    tagged, parts = _marked_windows(text)
+    return tagged, [w for w, _ in parts]
+
+
+def _marked_windows(text: str | None) -> tuple[int, list[tuple[list[str], list[bool]]]]:
+    """As ``windows``, with a sign for each word whether a mark or the line's end follows it."""
+    tagged, out, rest, rest_cuts = 0, [], [], []
     for line in (text or "").split("\n"):
         if "#" in line or "/" in line or "www." in line:
             tagged += sum(max(1, len(_WORD.findall(m))) for m in _LINK.findall(line))
             line = _LINK.sub(" ", line)
-        w = _WORD.findall(line.lower())
+        low = line.lower()
+        w = _WORD.findall(low)
         if not w:
             continue
         if len(w) <= 12 and _CODE.search(line) and not _ENDS.search(line):
             tagged += len(w)
-        elif len(w) >= WINDOW // 2:
+            continue
+        cuts = [len(w) <= ITEM] * len(w)
+        if _MARK.search(low):
+            k = -1
+            for t in _WORD_OR_MARK.findall(low):
+                if t[0].isalpha():
+                    k += 1
+                elif k >= 0:
+                    cuts[k] = True
+        cuts[-1] = True
+        if len(w) >= WINDOW // 2:
             if rest:
-                out.append(rest)
-                rest = []
+                out.append((rest, rest_cuts))
+                rest, rest_cuts = [], []
             n = max(1, round(len(w) / WINDOW))
-            out.extend(w[len(w) * k // n : len(w) * (k + 1) // n] for k in range(n))
+            out.extend((w[len(w) * k // n : len(w) * (k + 1) // n], cuts[len(w) * k // n : len(w) * (k + 1) // n]) for k in range(n))
         else:
-            rest = rest + w
+            rest, rest_cuts = rest + w, rest_cuts + cuts
             if len(rest) >= WINDOW * 3 // 4:
-                out.append(rest)
-                rest = []
+                out.append((rest, rest_cuts))
+                rest, rest_cuts = [], []
     if rest:
-        out.append(rest)
+        out.append((rest, rest_cuts))
     return tagged, out
 
 
@@ -86,13 +110,14 @@ def _mix(a: np.ndarray) -> np.ndarray:
 
 
 def _arrays(texts: list[str | None], known: _Words):
-    """Hashes of all words in windows, their page and window, hashes of the pairs, and tagged words per page."""
-    flat, page, window, tagged, n = [], [], [], [], 0
+    """Hashes of all words in windows, their page and window, hashes of the pairs, which of these lie in one window, tagged words per page, and which words a mark follows."""
+    flat, cuts, page, window, tagged, n = [], [], [], [], [], 0
     for k, t in enumerate(texts):
-        tags, parts = windows(t)
+        tags, parts = _marked_windows(t)
         tagged.append(tags)
-        for w in parts:
+        for w, c in parts:
             flat.extend(w)
+            cuts.extend(c)
             page.append((k, len(w)))
             n += 1
     sizes = np.array([s for _, s in page], np.int64)
@@ -102,7 +127,7 @@ def _arrays(texts: list[str | None], known: _Words):
     with np.errstate(over="ignore"):
         pair = _mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) | np.uint64(1)
     inside = window[:-1] == window[1:]
-    return h, owner, window, pair, inside, np.array(tagged, np.int64)
+    return h, owner, window, pair, inside, np.array(tagged, np.int64), np.array(cuts, bool)
 
 
 def _own(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -121,14 +146,14 @@ def _own(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 def count_block(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words and pairs of a block with their counts; key 0 has the number of words."""
-    h, _, _, pair, inside, _ = _arrays(texts, known)
+    h, _, _, pair, inside, _, _ = _arrays(texts, known)
     keys, n = np.unique(np.concatenate([h, pair[inside]]), return_counts=True)
     return np.append(keys, np.uint64(0)).view(np.int64), np.append(n, len(h)).astype(np.int64)
 
 
 def score_block(texts: list[str | None], keys: np.ndarray, totals: np.ndarray, known: _Words):
     """Words, tagged words, salad words and mean information of each page; ``totals`` are counts over the corpus by key (absent: none elsewhere)."""
-    h, owner, window, pair, inside, tagged = _arrays(texts, known)
+    h, owner, window, pair, inside, tagged, cuts = _arrays(texts, known)
     pages = len(texts)
     words = np.bincount(owner, minlength=pages) if len(h) else np.zeros(pages, np.int64)
     if not len(h):
@@ -166,7 +191,19 @@ def score_block(texts: list[str | None], keys: np.ndarray, totals: np.ndarray, k
     # against the words of the other pages, so that a long page doesn't take the joining words from itself
     joins = word_count >= np.maximum(GLUE * (total - words[owner]), 1)
     cycle = (covered >= COVERED) & ((np.bincount(window, weights=joins, minlength=n) / size < MOST_GLUE) | (distinct <= FEW))
-    incoherent = (size >= LEAST_WINDOW) & (mean < LOW) & (joined < MOST_GLUE)
+    # pairs of well-known words: how often they stand together elsewhere, and how often they would by chance
+    rest = total - words[owner[left]]
+    chance = word_count[left] * word_count[left + 1] / np.maximum(rest, 1)
+    sure = (word_count[left] >= KNOWN) & (word_count[left + 1] >= KNOWN) & ~cuts[left]
+    bound = np.log2(np.maximum(pair_count, 1) / np.maximum(chance, 1e-9)) * pair_count / (pair_count + 1)
+    bound = np.where(pair_count > 0, bound, -np.log2(1 + chance))
+    collocation = pair_count > chance + 2 * np.sqrt(chance)
+    sums = np.stack([np.bincount(window[left], weights=x, minlength=n) for x in (sure, bound * sure, collocation & sure)])
+    page_of = np.zeros(n, np.int64)
+    page_of[window] = owner
+    of_pages = np.stack([np.bincount(page_of, weights=x, minlength=pages) for x in sums])[:, page_of]
+    evidence, sum_bound, sum_collocated = np.where(sums[0] >= EVIDENCE, sums, of_pages)
+    incoherent = (evidence >= EVIDENCE) & (sum_bound < CHANCE * evidence) & (sum_collocated < COLLOCATED * evidence)
     salad = (size >= 8) & (cycle | incoherent | (mean - REPEAT_WEIGHT * rep < LIMIT) & (rep >= LEAST_REPEAT) & (joined < MOST_GLUE))
     bad = np.bincount(owner, weights=salad[window], minlength=pages).astype(np.int64)
     of_page = np.bincount(p_owner, minlength=pages)

@@ -112,3 +112,29 @@ def test_cycles_and_salad_without_repetition(spark):
     rows = list(enumerate(docs + cycles + salad))
     got = {r.doc_id for r in S.page_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).where("stuffed").collect()}
     assert got == set(range(len(docs), len(rows)))
+
+
+def test_salad_by_information_alone(spark):
+    """Distinct words in random order are salad, rare or common; lists of the same words with marks or line ends between them are not, and neither are pages of words nobody knows."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text").distinct().collect()]
+    count = Counter(w for t in texts for w in S._WORD.findall(t.lower()))
+    vocabulary = [w for w, _ in count.most_common()]
+    often = [w for w in vocabulary if count[w] >= S.KNOWN]
+    rng = random.Random(4)
+    pages = {
+        "common": [" ".join(rng.sample(often[:300], 250)) for _ in range(10)],
+        "known": [" ".join(rng.sample(often, 300)) for _ in range(10)],
+        "by frequency": [" ".join(rng.choices(vocabulary, [count[w] for w in vocabulary], k=300)) for _ in range(10)],
+        "commas": [", ".join(rng.sample(often, 60)) for _ in range(10)],
+        "lines": ["\n".join(rng.sample(often, 60)) for _ in range(10)],
+        "items": ["\n".join("- " + " ".join(rng.sample(often, 2)) for _ in range(30)) for _ in range(10)],
+        "unknown": [" ".join(f"{a}{b}{k}".translate(str.maketrans("0123456789", "qwxzvkjybh")) for a, b in zip("abcdefghijklmnop" * 6, "nopqrstuvwxyzabc" * 6)) for k in range(10)],
+    }
+    rows = list(enumerate(texts + [t for v in pages.values() for t in v]))
+    found = {r.doc_id for r in S.page_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).where("stuffed").collect()}
+    at, got = len(texts), {}
+    for name, v in pages.items():
+        got[name] = sum(k in found for k in range(at, at + len(v)))
+        at += len(v)
+    assert got["common"] == got["known"] == 10 and got["by frequency"] >= 9
+    assert got["commas"] == got["lines"] == got["items"] == got["unknown"] == 0
