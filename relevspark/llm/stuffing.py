@@ -46,7 +46,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|(?<!\w)#\w+")
 _CODE = re.compile(r"\b[A-Z]{2,}-?\d{3,}\b|\d%|[$€£]\s?\d")
 _ENDS = re.compile(r"[.!?]\s*$")
-_MARK = re.compile(r"[,;:|/•·»\-–—()@=]")
+#: Marks that part words.
+_MARKS = frozenset(",;:|/•·»-–—()@=")
 _WORD_OR_MARK = re.compile(r"[^\W\d_]+|[,;:|/•·»\-–—()@=]")
 
 
@@ -64,28 +65,30 @@ def windows(text: str | None) -> tuple[int, list[list[str]]]:
     return tagged, [w for w, _ in parts]
 
 
-def _marked_windows(text: str | None) -> tuple[int, list[tuple[list[str], list[bool]]]]:
-    """As ``windows``, with a sign for each word whether a mark or the line's end follows it."""
+def _marked_windows(text: str | None, marked: bool = True) -> tuple[int, list[tuple[list[str], list[bool]]]]:
+    """As ``windows``, with a sign for each word whether a mark or the line's end follows it (if ``marked``)."""
     tagged, out, rest, rest_cuts = 0, [], [], []
     for line in (text or "").split("\n"):
         if "#" in line or "/" in line or "www." in line:
             tagged += sum(max(1, len(_WORD.findall(m))) for m in _LINK.findall(line))
             line = _LINK.sub(" ", line)
         low = line.lower()
-        w = _WORD.findall(low)
+        if marked:
+            both = _WORD_OR_MARK.findall(low)
+            w = [t for t in both if t not in _MARKS]
+        else:
+            w = _WORD.findall(low)
         if not w:
             continue
         if len(w) <= 12 and _CODE.search(line) and not _ENDS.search(line):
             tagged += len(w)
             continue
-        cuts = [len(w) <= ITEM] * len(w)
-        if _MARK.search(low):
-            k = -1
-            for t in _WORD_OR_MARK.findall(low):
-                if t[0].isalpha():
-                    k += 1
-                elif k >= 0:
-                    cuts[k] = True
+        if not marked or len(w) == len(both) or len(w) <= ITEM:
+            cuts = [len(w) <= ITEM] * len(w)
+        else:
+            cuts = [y in _MARKS for x, y in zip(both, both[1:]) if x not in _MARKS]
+            if len(cuts) < len(w):
+                cuts.append(True)
         cuts[-1] = True
         if len(w) >= WINDOW // 2:
             if rest:
@@ -109,11 +112,11 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(33))
 
 
-def _arrays(texts: list[str | None], known: _Words):
+def _arrays(texts: list[str | None], known: _Words, marked: bool = True):
     """Hashes of all words in windows, their page and window, hashes of the pairs, which of these lie in one window, tagged words per page, and which words a mark follows."""
     flat, cuts, page, window, tagged, n = [], [], [], [], [], 0
     for k, t in enumerate(texts):
-        tags, parts = _marked_windows(t)
+        tags, parts = _marked_windows(t, marked)
         tagged.append(tags)
         for w, c in parts:
             flat.extend(w)
@@ -134,10 +137,12 @@ def _own(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """How often each key occurs with the same owner, at each place."""
     if not len(keys):
         return np.zeros(0, np.int64)
-    order = np.lexsort((keys, owner))
-    k, o = keys[order], owner[order]
+    with np.errstate(over="ignore"):
+        both = _mix(keys.astype(np.uint64) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(both)
+    k = both[order]
     start = np.ones(len(k), bool)
-    start[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    start[1:] = k[1:] != k[:-1]
     group = np.cumsum(start) - 1
     out = np.empty(len(k), np.int64)
     out[order] = np.bincount(group)[group]
@@ -146,7 +151,7 @@ def _own(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 def count_block(texts: list[str | None], known: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words and pairs of a block with their counts; key 0 has the number of words."""
-    h, _, _, pair, inside, _, _ = _arrays(texts, known)
+    h, _, _, pair, inside, _, _ = _arrays(texts, known, marked=False)
     keys, n = np.unique(np.concatenate([h, pair[inside]]), return_counts=True)
     return np.append(keys, np.uint64(0)).view(np.int64), np.append(n, len(h)).astype(np.int64)
 

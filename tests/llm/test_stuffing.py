@@ -128,7 +128,7 @@ def test_salad_by_information_alone(spark):
         "commas": [", ".join(rng.sample(often, 60)) for _ in range(10)],
         "lines": ["\n".join(rng.sample(often, 60)) for _ in range(10)],
         "items": ["\n".join("- " + " ".join(rng.sample(often, 2)) for _ in range(30)) for _ in range(10)],
-        "unknown": [" ".join(f"{a}{b}{k}".translate(str.maketrans("0123456789", "qwxzvkjybh")) for a, b in zip("abcdefghijklmnop" * 6, "nopqrstuvwxyzabc" * 6)) for k in range(10)],
+        "unknown": [" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(200)) for _ in range(10)],
     }
     rows = list(enumerate(texts + [t for v in pages.values() for t in v]))
     found = {r.doc_id for r in S.page_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).where("stuffed").collect()}
