@@ -12,137 +12,77 @@ from pyspark.sql import functions as F
 from relevspark.llm import conversation as C
 from relevspark.llm.langid import asks_for, language_of
 
-# Sentences that decline; * stands for some words.
-REFUSALS = """
-i cannot comply with this request
-no i cannot comply with *
-i can't comply with *
-i'm sorry but i can't help you *
-i'm sorry but i can't *
-i'm sorry but i cannot *
-i am sorry i can't *
-sorry but i can't help with *
-sorry i can't do that
-i cannot help with *
-i can't help with *
-i can't assist with *
-i cannot assist with *
-i am not able to assist with *
-i'm not able to help with *
-i am unable to assist with *
-i'm unable to help with *
-i am unable to comply *
-i won't be able to *
-unfortunately i won't be able to provide anything about *
-unfortunately i can't *
-unfortunately i cannot *
-i'd rather not answer this one
-i would rather not *
-i'd prefer not to answer *
-that isn't something i'm comfortable doing so i'll have to pass
-i'm not comfortable *
-i am not comfortable *
-i'll have to pass *
-i will have to pass *
-as a language model i must decline to discuss *
-as an ai language model i cannot *
-as an ai i can't *
-i must decline *
-i have to decline *
-i must refuse *
-i have to refuse *
-this appears to concern * and i have to refuse
-my guidelines do not permit answers on *
-my guidelines don't allow *
-my guidelines prevent me from *
-my policy does not allow *
-requests about * fall outside what i may respond to
-this request falls outside what i *
-this goes against my guidelines
-it is against my policy to *
-i'm not allowed to *
-i am not permitted to *
-i refuse to *
-i decline to *
-i can not provide *
-i cannot provide *
-i can't provide *
-i cannot discuss *
-i can't discuss *
-i cannot fulfill *
-i can't fulfill *
-no comment on *
-je dois refuser cette demande
-je dois décliner *
-désolé je ne peux pas vous aider à *
-je suis désolé mais je ne peux pas *
-je ne peux pas répondre à *
-je ne peux pas vous aider *
-je refuse de *
-mes règles m'interdisent de parler de *
-mes consignes m'interdisent *
-je ne suis pas autorisé à *
-je préfère ne pas répondre *
-debo rechazar esta petición
-debo rechazar *
-lo siento no puedo ayudarte a *
-lo siento pero no puedo *
-no puedo ayudarte *
-no puedo responder a *
-mis normas no me permiten hablar de *
-mis reglas no me permiten *
-no estoy autorizado a *
-prefiero no responder *
-me niego a *
-diese anfrage muss ich leider ablehnen
-das muss ich leider ablehnen
-es tut mir leid dabei kann ich nicht helfen *
-tut mir leid aber ich kann *  nicht
-leider kann ich dabei nicht helfen
-dabei kann ich nicht helfen *
-zu * darf ich keine auskunft geben
-darüber darf ich nicht sprechen
-ich darf * nicht beantworten
-ich kann diese anfrage nicht *
-ich möchte darauf lieber nicht antworten
-mi dispiace ma non posso *
-non posso aiutarti *
-desculpe mas não posso *
-não posso ajudar *
-извините я не могу *
-к сожалению я не могу *
-я вынужден отказаться *
-"""
-#: Courtesies that are no help of their own.
-COURTESIES = """
-thank you for understanding
-thanks for understanding
-please consult a professional instead
-is there something else you would like to know
-is there anything else i can help with
-feel free to ask about another topic
-feel free to ask something else
-i hope you understand
-i apologize for any inconvenience
-no
-sorry
-i'm sorry
-i am sorry
-i understand
-avez-vous une autre question
-merci de votre compréhension
-n'hésitez pas à poser une autre question
-désolé
-tienes otra pregunta
-gracias por tu comprensión
-gracias por su comprensión
-lo siento
-gibt es eine andere frage
-danke für ihr verständnis
-haben sie eine andere frage
-es tut mir leid
-leider nein
-""".strip().splitlines()
+# Classes of words, by what they do in a sentence that declines.
+LEMMAS = {
+    "self": "i im me my mine myself je j moi me m ich mir mich meine yo me mi io eu я мне",
+    "subject": "i je j ich yo io eu я we nous wir nosotros",
+    "owner": "my our mes nos mi mis nuestras nuestros meine meinen mein unsere mie minhas мои",
+    "owed": "debo debemos devo",
+    "modal": "can could cannot able unable will won would wouldn may might am m comfortable allowed permitted authorized authorised willing equipped supposed designed going position peux puis pouvons autorisé autorisée permis mesure kann könnte darf dürfte werde möchte puedo podemos podría autorizado autorizada posso могу можем",
+    "first": "puedo podemos podría posso могу",
+    "not": "not cannot unable t nt never no pas ne jamais nicht kein keine keinen keinerlei no nunca non não не unwilling",
+    "help": "help assist answer provide respond reply comply discuss do share offer talk support fulfill fulfil complete engage comment speak give write create generate continue advise cover address process fulfilling answering discussing helping assisting providing doing giving carry aider aide répondre parler fournir discuter donner traiter helfen beantworten antworten sprechen geben besprechen behilflich auskunft nachkommen ayudar ayudarte ayudarle ayudarlo responder hablar dar contestar comentar tratar proporcionar aiutare aiutarti rispondere ajudar responder ответить помочь обсуждать",
+    "decline": "decline declining refuse refusing reject abstain refrain décliner refuser refuse ablehnen verweigern absagen rechazar declinar niego negarme rifiuto rifiutare recusar отказаться отказываюсь",
+    "away": "turn steer stay keep take leave back opt sit",
+    "gone": "down clear away out off aside",
+    "must": "must have need should obliged forced dois devons muss müssen debo debemos tengo devo вынужден",
+    "norms": "guidelines guideline policy policies rules rule principles terms programming instructions règles consignes principes politique normas reglas políticas política pautas richtlinien regeln vorgaben grundsätze правила",
+    "allow": "allow allows permit permits let permettent permet autorisent permiten permite dejan erlauben zulassen gestatten",
+    "forbid": "prevent prevents prohibit prohibits forbid forbids bar bars against violates violate breaks interdisent interdit empêchent empêche contraire prohíben prohíbe impiden impide contra verbieten verbietet untersagen gegen",
+    "outside": "outside beyond limits scope fuera allá außerhalb hors dehors",
+    "prefer": "rather prefer préfère préférerais prefiero preferiría lieber",
+    "pass": "pass",
+    "comment": "comment",
+    "thing": "something thing quelque algo etwas",
+}
+#: Templates of refusals over these classes, in the order of the words.
+REFUSALS = [
+    x.split()
+    for x in """self modal not help
+self not modal help
+modal self not help
+modal not self help
+self modal not
+not first help
+not first
+subject must decline
+subject decline
+owed decline
+decline subject must
+must subject decline
+self away gone
+subject must pass
+owner norms not allow
+not owner norms allow
+owner norms forbid
+forbid owner norms
+outside self modal
+outside self not
+self prefer not
+prefer not help
+prefer self not
+not thing self modal
+not thing self help
+self not comfortable help
+not comment""".splitlines()
+]
+#: Words that may stand between two words of a template.
+GAP = 4
+#: Words after which a sentence that declines gives help all the same.
+TURNS = set("but however though instead mais cependant pourtant pero sino aber jedoch sondern ma mas но".split())
+#: Courtesies that are no help of their own, as pairs of classes of words, and single words that may stand alone.
+COURTESIES = [
+    tuple(set(x.split()) for x in line.split("|"))
+    for line in """thank thanks merci gracias danke grazie obrigado спасибо|understanding patience compréhension comprensión verständnis comprensione understand asking
+hope espère espero hoffe|understand comprenez entiendas entienda verstehen
+else other another different otherwise more autre autres otra otro otras andere anderen anderes weitere|help assist know question questions topic topics subject ask discuss sujet tema temas pregunta frage fragen thema hilfe besoin
+feel|free
+consult contact see seek ask speak talk consultez contactez consulte consulta wenden|professional expert experts specialist doctor lawyer attorney someone professionnel spécialiste profesional especialista fachmann fachperson experten
+apologize apologise apologies excuse|inconvenience trouble that this confusion
+happy glad pleased gern gerne heureux feliz|help assist helfen aider ayudar
+let laissez|know""".splitlines()
+]
+ALONE = set("no nope sorry apologies unfortunately désolé désolée malheureusement leider siento lamento perdón understand understood i m am im so lo je suis es tut mir leid nein non".split())
 #: What stands for an absent answer.
 ABSENT = {"", "null", "none", "nil", "nan", "na", "n/a", "n.a.", "n.a", "no response", "no answer", "empty", "undefined", "no content", "not available", "missing", "blank", "no reply", "no output", "deleted", "removed", "todo", "tbd", "placeholder", "error", "null null", "response", "answer", "sans réponse", "pas de réponse", "sin respuesta", "keine antwort", "leer", "vide", "vacío", "content", "no data"}
 #: Unpunctuated closings that end an answer.
@@ -155,8 +95,6 @@ el los las una unos unas del al y o u pero que quien cuando donde para por sobre
 der die das den dem des ein eine einen einem einer eines und oder aber dass wenn weil als ob mit ohne für auf an im zu zum zur von vom bei beim nach über unter ist sind war wird werden hat haben nicht sein seine ihr ihre""".split())
 _TOKEN = re.compile(r"[㐀-鿿぀-ヿ]|[^\W_]+")
 _SENTENCE = re.compile(r"[^.!?。！？\n]+")
-#: Every template of a refusal has one of these words (after "can" and "won", a "t").
-_REFUSING = set("cannot unable able refuse decline declining rather prefer comfortable guidelines policy permit permitted allow allowed pass outside comment not peux interdisent interdit autorisé refuser refuse décliner préfère rechazar puedo permiten autorizado niego prefiero ablehnen kann darf möchte posso могу вынужден".split())
 _FRAME = set("you asked your question here is was the prompt again sure repeat repeating said original as i my answer quote user wrote asks to votre vous avez demandé voici su pregunta usted preguntó sie fragten ihre frage lautet hier ist re echo text input".split())
 _ECHO = re.compile(r"(?i)\b(?:repeat|echo|copy|return only|reply only|output only|say exactly|write exactly|verbatim|proofread|correct|fix the|spell(?:ing)?|répét|recopi|corrig|wiederhol|korrigier|repit|repet)")
 
@@ -188,40 +126,66 @@ def shingles(words: list[str], n: int = 3) -> set[tuple]:
     return set(zip(*(words[k:] for k in range(n)))) if len(words) >= n else {tuple(words)} if words else set()
 
 
-class _Template:
-    def __init__(self, line: str):
-        self.words = tokens(line.replace("*", " "))
-        self.held = set(self.words)
-        self.open = "*" in line
-
-    def fits(self, words: list[str], held: set[str]) -> bool:
-        need = len(self.words)
-        if len(words) < 0.8 * need or len(words) > need + (14 if self.open else 2) or len(self.held & held) < 0.8 * len(self.held):
-            return False
-        return lcs(self.words, words) >= (need if need <= 3 else 0.85 * need)
-
-
-_REFUSALS = [_Template(x) for x in REFUSALS.strip().splitlines()]
-_COURTESIES = [_Template(x) for x in COURTESIES]
-_REFUSAL_WORDS = {w for t in _REFUSALS for w in t.words}
+_CLASS: dict[str, set[str]] = {}
+for _name, _words in LEMMAS.items():
+    for _w in _words.split():
+        _CLASS.setdefault(_w, set()).add(_name)
+#: Classes that some template starts with.
+_HEADS: dict[str, list[list[str]]] = {}
+for _t in REFUSALS:
+    _HEADS.setdefault(_t[0], []).append(_t)
+_NONE: set[str] = set()
+
+
+def aligned(template: list[str], classes: list[set[str]], start: int) -> int | None:
+    """The place after the last word of the template if its classes are a subsequence from ``start`` on with at most GAP other words between two."""
+    ends = {start}
+    for c in template[1:]:
+        # a word may stand for two classes in a row (such as one that is both a modal verb and a denial)
+        ends = {j for i in ends for j in range(i, min(len(classes), i + GAP + 2)) if c in classes[j] and (j > i or len(classes[j]) > 1)}
+        if not ends:
+            return None
+    return min(ends) + 1
+
+
+def refuses(words: list[str]) -> int | None:
+    """The place up to which a sentence aligns with a template of refusals, or None."""
+    classes = [_CLASS.get(w, _NONE) for w in words]
+    best = None
+    for i, held in enumerate(classes):
+        for c in held:
+            for t in _HEADS.get(c, ()):
+                end = aligned(t, classes, i)
+                if end is not None and (best is None or end > best):
+                    best = end
+    return best
+
+
+def courteous(words: list[str]) -> bool:
+    """Whether a short sentence is a courtesy."""
+    if len(words) <= 6 and ALONE.issuperset(words):
+        return True
+    held = set(words)
+    return len(words) <= 18 and any(all(c & held for c in pair) for pair in COURTESIES)
 
 
-def declines(answer: str, words: set[str]) -> bool:
-    """Whether the answer, whose words are known, aligns with refusal templates and gives nothing besides."""
-    if _REFUSING.isdisjoint(words) and not ("t" in words and ("can" in words or "won" in words or "don" in words)):
-        return False
+def declines(answer: str) -> bool:
+    """Whether the answer aligns with refusal templates and gives nothing besides."""
     refused, help_words = 0, 0
     for s in _SENTENCE.findall(answer):
         w = tokens(s)
         if not w:
             continue
-        held = set(w)
-        if any(t.fits(w, held) for t in _REFUSALS):
+        end = refuses(w)
+        if end is not None:
             refused += 1
-        elif len(w) > 12 or not any(t.fits(w, held) for t in _COURTESIES):
+            turn = next((k for k in range(end, len(w)) if w[k] in TURNS), len(w))
+            if refuses(w[turn:]) is None and not courteous(w[turn:]):
+                help_words += max(0, len(w) - turn - 1)
+        elif not courteous(w):
             help_words += len(w)
-            if help_words > 6:
-                return False
+        if help_words > 6:
+            return False
     return refused > 0
 
 
@@ -233,10 +197,13 @@ def copies(prompt: list[str], answer: list[str], in_answer: set[str], text: str
     if len(in_prompt & in_answer) < 0.6 * len(in_prompt):
         return False
     new = sum(w not in in_prompt and w not in _FRAME for w in answer)
-    if new > 0.25 * len(answer) + 1 or len(answer) > 6 * len(prompt) + 12:
+    if new > 0.25 * len(answer) + 1:
         return False
     p, a = shingles(prompt), shingles(answer)
     both = len(p & a)
+    # a much longer answer is the prompt many times over, or no copy
+    if len(answer) > 6 * len(prompt) + 12 and both < 0.6 * len(a):
+        return False
     if len(prompt) >= 8 and (both < 0.3 * len(p) or both < 0.3 * len(a)):
         return False
     return lcs(prompt, answer) >= (0.9 if _ECHO.search(text) else 0.75) * len(prompt)
@@ -289,13 +256,17 @@ def breaks_off(answer: str) -> bool:
 
 
 _MARKS = re.compile(r"[\W_]+")
+#: Blanks and common marks around a stand-in, of which none is longer than 60 characters.
+_EDGE = " \t\r\n\f\v.,;:!?-_=*#~^`'\"()[]{}<>|/\\+&%$…–—·•"
+_LONGEST_STAND_IN = 60
 
 
 def absent(answer: str | None) -> bool:
     """Whether nothing is in the answer but blanks, marks or a stand-in for an absent answer."""
     if not answer:
         return True
-    if len(answer) > 60 and re.search(r"\w", answer):
+    core = answer.strip(_EDGE)
+    if len(core) > _LONGEST_STAND_IN and core[0].isalnum() and core[-1].isalnum():
         return False
     bare = _MARKS.sub(" ", answer).strip().lower()
     if bare in ABSENT or answer.strip().strip("[](){}<>*_\"'`").strip(" .").lower() in ABSENT:
@@ -311,7 +282,7 @@ def defect(prompt: str | None, answer: str | None) -> str | None:
     p = prompt or ""
     pw, aw = tokens(p), tokens(answer)
     held = set(aw)
-    if declines(answer, held):
+    if declines(answer):
         return "refusal"
     if copies(pw, aw, held, p):
         return "copy"

@@ -68,3 +68,37 @@ def test_broken_pairs(spark):
     assert out.columns == ["row_id", "prompt_pos", "defect"]
     assert sorted((r.row_id or 0, r.prompt_pos, r.defect) for r in out.collect()) == [(0, 0, "empty"), (1, 0, "empty"), (1, 0, "empty"), (4, 3, "empty"), (5, 4, "copy")]
     assert P.broken_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "answer,refused",
+    [
+        ("I must respectfully turn down your request.", True),
+        ("Sorry, that's beyond what I can discuss here.", True),
+        ("That's something I have to steer clear of.", True),
+        ("I'm sorry, but I can't help you with writing a very long letter about the many different engines that were built in the old town last year.", True),
+        ("Unfortunately, my rules forbid me from going into this.", True),
+        ("I would prefer not to talk about it. Feel free to ask about something else!", True),
+        ("Je regrette, mais je ne suis pas en mesure de vous répondre.", True),
+        ("Lamentablemente no me es posible: debo negarme.", True),
+        ("Darüber kann ich leider keine Auskunft geben. Danke für Ihr Verständnis.", True),
+        ("I won't answer that. Please consult a professional.", True),
+        ("It would be against my policy to write this.", True),
+        ("You cannot give this drug to a child.", False),
+        ("The bank refused the loan because the form was late.", False),
+        ("I can't say for sure, but the river is about 300 km long and flows north.", False),
+        ("The policy does not allow dogs in the park.", False),
+        ("He declined the offer and left.", False),
+        ("I would rather take the train than the bus, since it is faster and cheaper.", False),
+        ("I can't give legal advice. File the form with the court by Monday and keep a copy of it.", False),
+    ],
+)
+def test_refusals_in_words_of_their_own(answer, refused):
+    assert (P.defect("Tell me about the engine of the old ship in Arden.", answer) == "refusal") == refused
+
+
+def test_no_limit_of_length():
+    prompt = "please move the old engine to the new hall of the town today"
+    for n in (2, 7, 9, 40):
+        assert P.defect(prompt, " ".join([prompt] * n)) == "copy"
+    assert P.defect("hi there", " " * 70 + "N/A" + "." * 80) == "empty"
