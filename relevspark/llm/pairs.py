@@ -66,6 +66,8 @@ not thing self help
 self not comfortable help
 not comment""".splitlines()
 ]
+#: Templates that say nothing of help; they count at the end of a sentence only, with at most so many words after them.
+BARE, REST = (["self", "modal", "not"], ["not", "first"]), 3
 #: Words that may stand between two words of a template.
 GAP = 4
 #: Words after which a sentence that declines gives help all the same.
@@ -156,7 +158,7 @@ def refuses(words: list[str]) -> int | None:
         for c in held:
             for t in _HEADS.get(c, ()):
                 end = aligned(t, classes, i)
-                if end is not None and (best is None or end > best):
+                if end is not None and (best is None or end > best) and (t not in BARE or len(words) - end <= REST):
                     best = end
     return best
 
