@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from relevspark.llm import bpe
 from relevspark.runtime import cut
 
-#: Parts into which the items of one length are dealt, so that a frequent length is no single task.
-SALT = 64
+#: Least number of parts into which the items of one length are dealt, and documents a part, so that a frequent length is no single task however large the collection is.
+SALT, PART = 64, 500_000
 #: Rows of the table of containers; it is a setting, not data.
 MOST_KINDS = 1000
 
@@ -113,20 +113,22 @@ def fill(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_co
         counts = [bpe.counter(n, folder) for n in names]
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([f(t) for t in texts], pa.int32()) for f in counts)], names=["id", "salt", *(f"n{k}" for k in range(len(names)))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([f(t) for t in texts], pa.int32()) for f in counts)], names=["id", "h", *(f"n{k}" for k in range(len(names)))])
 
-    # the salt spreads the items of one length over many tasks
-    sized = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALT)).cast("int").alias("salt")).mapInArrow(measure, f"id {key}, salt int, " + ", ".join(f"n{k} int" for k in range(len(names))))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).mapInArrow(measure, f"id {key}, h bigint, " + ", ".join(f"n{k} int" for k in range(len(names))))
     sized = cut(sized)  # read twice below, encoded once
+    salts = max(SALT, -(-sized.count() // PART))
     kind_of = F.array(*(F.struct(F.lit(j).alias("kind"), F.lit(c).alias("capacity"), F.col(f"n{names.index(t)}").alias("n")) for j, (_, c, t) in enumerate(kinds)))
     items = (
-        sized.select("id", "salt", F.explode(kind_of).alias("k"))
-        .select("id", "salt", "k.*")
+        sized.select("id", "h", F.explode(kind_of).alias("k"))
+        .select("id", "h", "k.*")
         .withColumn("part_no", F.explode(F.expr("sequence(0, greatest(cast(ceil(n / capacity) as int), 1) - 1)")))
+        # the salt spreads the items of one length, and the parts of one text, over many tasks
+        .withColumn("salt", F.pmod(F.xxhash64("h", "part_no"), F.lit(salts)).cast("int"))
         .select("id", "salt", "kind", "part_no", (F.col("part_no") * F.col("capacity")).alias("start"), F.expr("least(n - part_no * capacity, capacity)").alias("tokens"))
     )
     cells = items.groupBy("kind", "tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
-    cells = cut(cells)  # at most kinds x (capacity + 1) x SALT rows
+    cells = cut(cells)  # at most kinds x (capacity + 1) x salts rows
     before = F.sum("n").over(Window.partitionBy("kind", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = cells.select("kind", "tokens", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     # at most capacity + 1 rows a kind, however large the collection is
@@ -141,11 +143,12 @@ def fill(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_co
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the plan's rows are sorted by kind, length and rank
-        group = (place[:, 0] << 21) + place[:, 1]
+        above = 1 + max(c for _, c, _ in kinds)
+        group = place[:, 0] * above + place[:, 1]
         for b in batches:
             kind, part, start, tokens, rank = (b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
             at = np.empty(len(kind), np.int64)
-            want = (kind.astype(np.int64) << 21) + tokens
+            want = kind.astype(np.int64) * above + tokens
             lo, hi = np.searchsorted(group, want, "left"), np.searchsorted(group, want, "right")
             for a, z in {(int(x), int(y)) for x, y in zip(lo, hi)}:
                 m = lo == a

@@ -2,7 +2,7 @@
 
 A grammar is text, one rule a line, ``name <- expression``.  Expressions: sequence (blank), ordered choice
 ``/``, ``* + ?``, ``&`` and ``!`` look-ahead, groups, ``"literal"``, a regular expression in ``~...~`` as
-terminal, ``@~...~`` for all text before the next match of one, and rule names.  Rules become closures; a parse gives a tree of ``Node``.  A rule whose name starts with an underscore
+terminal, ``@~...~`` for all text before the next match of one, ``%ab...%`` for text from ``a`` to the ``b`` that balances it (nested to any depth, without any character after ``ab``), and rule names.  Rules become closures; a parse gives a tree of ``Node``.  A rule whose name starts with an underscore
 leaves no node of its own.
 """
 
@@ -28,10 +28,35 @@ class Node(NamedTuple):
         return None
 
 
-_TOKEN = re.compile(r'\s*(?:(?P<until>@~(?:\\~|[^~])+~)|(?P<re>~(?:\\~|[^~])+~)|(?P<lit>"(?:\\.|[^"\\])*")|(?P<name>\w+)|(?P<op>[()*+?/&!]))')
+_TOKEN = re.compile(r'\s*(?:(?P<until>@~(?:\\~|[^~])+~)|(?P<re>~(?:\\~|[^~])+~)|(?P<lit>"(?:\\.|[^"\\])*")|(?P<nest>%(?:\\.|[^%\\])+%)|(?P<name>\w+)|(?P<op>[()*+?/&!]))')
 _NONE: tuple[Node, ...] = ()
 
 
+def balanced(opening: str, closing: str, stop: str):
+    """A terminal for what lies between balanced brackets.  The ends of all brackets of a text are found in one pass with a stack when the text is first seen."""
+    marks = re.compile(f"[{re.escape(opening + closing + stop)}]")
+    seen, ends = None, {}
+
+    def run(s, i):
+        nonlocal seen, ends
+        if not s.startswith(opening, i):
+            return None
+        if seen is not s:
+            seen, ends, stack = s, {}, []
+            for m in marks.finditer(s):
+                c = m.group()
+                if c == opening:
+                    stack.append(m.start())
+                elif c != closing:
+                    stack.clear()
+                elif stack:
+                    ends[stack.pop()] = m.end()
+        end = ends.get(i)
+        return None if end is None else (end, _NONE)
+
+    return run
+
+
 class Grammar:
     def __init__(self, source: str, flags: int = 0):
         self.flags = flags
@@ -149,6 +174,8 @@ class Grammar:
                 return (end, _NONE) if end > i else None
 
             return before
+        if kind == "nest":
+            return balanced(*re.match(r"(.)(.)([\s\S]*)", t[1:-1].encode().decode("unicode_escape")).groups())
         if kind == "lit":
             text = t[1:-1].encode().decode("unicode_escape")
             n = len(text)

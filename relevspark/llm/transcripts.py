@@ -26,15 +26,9 @@ HESITATIONS = r"u+[hm]+|e+r+m?|a+h+|h+m+|m+h?m+|o+h+|uh-huh|mm-hmm"
 SEEN_AS = str.maketrans({"1": "l", "0": "o", "5": "s", "|": "l", "3": "e", "8": "b", "6": "b", "!": "l"})
 
 
-
-def notes(stop: str, depth: int = 6) -> str:
-    """Rules of annotations nested up to ``depth``; what is nested deeper is text.  ``stop`` are characters that no annotation holds."""
-    flat = r"~\*[^*\n]{1,60}\*~ / ~<[^<>\n]{1,60}>~ / ~♪[^♪\n]*♪~"
-    rules = [r"_n0 <- ~(?!)~"]
-    for k in range(1, depth + 1):
-        kinds = (f'"{a}" (_n{k - 1} / ~[^{re.escape(a + b)}{stop}]+~)* "{b}"' for a, b in ("[]", "()", "{}"))
-        rules.append(f"_n{k} <- " + " / ".join(kinds))
-    return "\n".join([*rules, f"note <- _n{depth} / {flat}"])
+def notes(stop: str) -> str:
+    """The rule of annotations, nested to any depth.  ``stop`` are characters that no annotation holds."""
+    return rf"note <- %[]{stop}% / %(){stop}% / %{{}}{stop}% / ~\*[^*\n]+\*~ / ~<[^<>\n]+>~ / ~♪[^♪\n]*♪~"
 
 
 #: Grammar of a transcript by lines, in three house styles.
@@ -49,8 +43,8 @@ plain_turn <- _newpara _clocks ~[ \t]*~ plain_label _sp _clocks
 caption_label <- label ~[ ]*(?::|\.|[ ][-–—]+)(?=\s|$)~
 indented_label <- dotted ~[ ]*(?:\.|:|[ ][-–—]+)(?=\s|$)~
 plain_label <- label ~[ ]*(?::|[ ]*[-–—]+)(?=\s|$)~
-label <- ~\(?[^\W_](?:[\w'’.,()]|-(?=\w)){0,40}(?:[ ]\(?[^\W_](?:[\w'’.,()]|-(?=\w)){0,40}){0,6}(?<![ ,])(?=[ ]*(?::|[ ][-–—]))~
-dotted <- ~(?:(?:mr|mrs|ms|miss|dr|prof|sen|rep|comm|[^\W\d_])\.[ ])*[^\W_][^.:\n]{1,58}?(?:[ ](?:[^\W\d_])\.[ ][^.:\n]{1,40}?)?(?=[ ]*(?:\.|:|[ ][-–—])(?:\s|$))~
+label <- ~\(?[^\W_](?:[\w'’.,()]|-(?=\w))*(?:[ ]\(?[^\W_](?:[\w'’.,()]|-(?=\w))*)*(?<![ ,])(?=[ ]*(?::|[ ][-–—]))~
+dotted <- ~(?:(?:mr|mrs|ms|miss|dr|prof|sen|rep|comm|[^\W\d_])\.[ ])*[^\W_][^.:\n]+?(?:[ ](?:[^\W\d_])\.[ ][^.:\n]+?)?(?=[ ]*(?:\.|:|[ ][-–—])(?:\s|$))~
 remark <- _newpara ~[ \t]*~ (note / clock)+ ~[ \t]*(?=\n|$)\n*~
 NOTES_IN_LINES
 _clocks <- (clock _gap)*

@@ -128,3 +128,14 @@ def test_fill(spark):
     assert fill(both.limit(0), kinds).count() == 0
     with pytest.raises(ValueError):
         fill(both, spark.createDataFrame([("a", 0, "byte_bpe_50k")], kinds.schema))
+
+
+def test_fill_with_large_capacities(spark):
+    """Capacities beyond two million do not mix the kinds of container."""
+    docs = spark.createDataFrame([(k, "word " * (k * 7 % 50)) for k in range(300)], "doc_id bigint, text string")
+    kinds = [("a", 1 << 22, "byte_bpe_50k"), ("b", 60, "byte_bpe_50k"), ("c", (1 << 31) - 1, "byte_bpe_50k")]
+    out = fill(docs, spark.createDataFrame(kinds, "container_kind string, capacity int, tokenizer string")).toPandas()
+    for kind, cap, _ in kinds:
+        o = out[out.container_kind == kind]
+        assert len(o) == 300 and o.groupby("container_id").tokens.sum().max() <= cap
+        assert (o.container_id.nunique() == 1) == (cap > 60)

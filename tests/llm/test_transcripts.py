@@ -82,3 +82,14 @@ def test_speaker_turns(spark):
     assert {r.speaker for r in out if r.speaker_id == 0} == {None}
     assert T.speaker_turns(df.limit(0), people).count() == 0
     assert {r.speaker_id for r in T.speaker_turns(df, people.limit(0)).collect()} == {0}
+
+
+def test_no_limits_of_depth_and_length():
+    deep = "one " + "[" * 5000 + "laughter" + "]" * 5000 + " two"
+    assert T.clean(deep) == "one two"
+    assert T.clean("one [[[[[[[laughter]]]]]]] two") == "one two"
+    assert T.clean("one *" + "coughs and clears the throat " * 9 + "* two") == "one two"
+    assert T.clean("one " + "[" * 5000 + " two").startswith("one [")
+    people = T.roster("7\x1fMaria Ortega\x1fMs.\x1fwitness\x1fArden on the River and the Sea")
+    text = "Ms. Maria Ortega of Arden on the River and the Sea: Good morning.\n"
+    assert [w for _, _, w in T.turns(text, people)] == ["Good morning."]
