@@ -9,8 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns of a speaker's label at the start of a line, one family each; the family with most hits holds.
+#: Patterns of a speaker's label at the start of a line, one family each; the family with most hits holds, of equal ones the first.
 SPEAKER_FAMILIES = [
+    # a title and a name, with a dot or colon
+    r"^[ \t]*(Senator|Chairman|Chairwoman|Chairperson|Mr\.|Mrs\.|Ms\.|Dr\.|Representative|Rep\.|The CHAIRMAN|The CHAIRWOMAN|The CHAIR|General|Admiral|Secretary|Commissioner|Director|Ambassador|Governor|Mayor|Professor|Judge|Justice)[.\s]+([A-Z][A-Za-z\-\']+(?:\s+[A-Z][A-Za-z\-\']+)?)\s*[.\:]\s*",
+    # a full name with a colon, perhaps with a clock mark
+    r"^[ \t]*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s*:\s*(?:\(\d+:\d+\))?\s*",
+    # a name in capitals with a dot
+    r"^[ \t]*([A-Z]{2,}(?:\s+[A-Z]{2,})*)\s*[.]\s*",
+]
+_FAMILIES = [
     r"^[ \t]*((?:Mr|Mrs|Ms|Dr|Senator|Representative|Chairman|Chairwoman|The (?:Chairman|Chairwoman|Chair))\.?\s+[A-Z][A-Za-z'’-]+)[.:]",
     r"^[ \t]*([A-Z][A-Z'’-]+(?:\s+[A-Z][A-Z'’-]+){0,3})[.:]",
     r"^[ \t]*([A-Z][a-z]+(?:\s+[A-Z][A-Za-z'’.-]+){1,3}):",
@@ -145,7 +153,7 @@ def turns_of(text: str | None) -> list[dict]:
     for m, nxt in zip(best, [*best[1:], None]):
         said = text[m.end() : nxt.start() if nxt else len(text)].strip()
         if said:
-            out.append({"pos": len(out), "speaker": " ".join(m.group(1).split()), "text": said})
+            out.append({"pos": len(out), "speaker": " ".join(g for g in m.groups() if g).strip(". "), "text": said})
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: English stop words of the word tokeniser.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 #: Parts of a theme that make it useless, in any case.
-JUNK_THEMES = ["insufficient information", "unclear", "unknown", "uncategorized", "miscellaneous", "no clear", "not applicable", "cannot determine", "other", "none", "ambiguous", "general", "vague", "n/a", "unspecified"]
+JUNK_THEMES = ["insufficient information", "unable to determine", "unspecified", "uncategorized", "no clear", "not enough", "unclear", "general comment", "no implicit", "no stance", "neutral", "miscellaneous", "other", "unknown", "n/a"]
 
 
 def col(c: str | Column) -> Column:

@@ -39,14 +39,17 @@ def bm25(queries: DataFrame, docs: DataFrame, flavor: str = "lucene", k1: float
     wanted = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
     terms = wanted.select("term").distinct()
     stats = corpus_stats(docs)
-    df = document_frequency(docs)
+    postings = _postings(docs, terms)
     if flavor == "okapi":
+        df = document_frequency(docs)  # of all terms, as the mean of their weights is needed
         idf = df.crossJoin(F.broadcast(stats.select("n"))).select("term", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
         idf = idf.crossJoin(F.broadcast(idf.agg(F.avg("idf").alias("_mean")))).select("term", F.when(F.col("idf") < 0, 0.25 * F.col("_mean")).otherwise(F.col("idf")).alias("idf"))
     else:
+        # of the queries' terms alone, from the same exchange as their hits
+        df = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
         idf = df.crossJoin(F.broadcast(stats.select("n"))).select("term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weights = wanted.join(idf, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    hits = _postings(docs, terms).crossJoin(F.broadcast(stats.select("avgdl")))
+    hits = postings.crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("tf") * (k1 + 1 if flavor == "okapi" else 1.0) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.join(weights, "term").groupBy("qid", "did").agg(F.sum(F.col("w") * part).alias("score"))
     return scored.select("qid", "did", F.round("score", DIGITS).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from relevspark.functions import text as T
 
 #: Titles by which a speaker who asks is known (prefixes, in lower case).
-QUESTIONER_PREFIXES = ("chairman", "chairwoman", "chair", "the chair", "senator", "sen", "representative", "rep", "congressman", "congresswoman", "mr. chairman", "madam chair", "ranking member")
+QUESTIONER_PREFIXES = ("senator", "chairman", "chairwoman", "chairperson", "the chairman", "the chairwoman", "the chair", "representative", "rep")
 
 
 def is_questioner(speaker: str | Column) -> Column:

@@ -52,9 +52,14 @@ def judged_in_corpus(t: Tables):
     return t.qrels().join(t("documents").select(F.col("doc_id").alias("did")), "did", "left_semi")
 
 
+def _titled(t: Tables):
+    """A corpus of titled documents alone."""
+    return t("documents").where(T.blank_to_null("title").isNotNull()).select(F.col("doc_id").alias("did"))
+
+
 def missing_documents(t: Tables):
-    """Judged documents that the corpus lacks, and the number of pairs on them."""
-    return t.qrels().join(t("documents").select(F.col("doc_id").alias("did")), "did", "left_anti").groupBy("did").agg(F.count(F.lit(1)).alias("n"))
+    """Judged documents that a corpus of titled documents lacks, and the number of pairs on them."""
+    return t.qrels().join(_titled(t), "did", "left_anti").groupBy("did").agg(F.count(F.lit(1)).alias("n"))
 
 
 def unmatched_keys(t: Tables):
@@ -323,7 +328,7 @@ def words_sql(c: str) -> str:
 
 
 _LATEST = "(select * from (select *, row_number() over (partition by doc_id order by landed_at desc, text desc) as rn from passages) where rn = 1 and hearing_id is not null)"
-_ASKS = " or ".join(f"starts_with(lower(trim(speaker)), '{p}')" for p in S.QUESTIONER_PREFIXES)
+_ASKS = " or ".join(f"starts_with(lower(trim(speaker)), '{p}')" for p in ("senator", "chairman", "chairwoman", "chairperson", "the chairman", "the chairwoman", "the chair", "representative", "rep"))
 _EXCH = f"x as (select *, greatest(sum(coalesce(({_ASKS}), false)::int) over (partition by hearing_id order by doc_id) - 1, 0)::bigint as exchange from {_LATEST})"
 
 
@@ -340,7 +345,7 @@ SQL = {
     "grade_max_merge": "select qid, did, max(grade) as grade from qrels where grade is not null group by qid, did",
     "judged_queries": f"with {QRELS} select qid, query_text from queries where qid in (select qid from gold)",
     "judged_in_corpus": f"with {QRELS} select did, qid, grade from gold where did in (select doc_id from documents)",
-    "missing_documents": f"with {QRELS} select did, count(*) as n from gold where did not in (select doc_id from documents where doc_id is not null) group by did",
+    "missing_documents": f"with {QRELS} select did, count(*) as n from gold where did not in (select doc_id from documents where doc_id is not null and trim(title) <> '') group by did",
     "unmatched_keys": "select distinct vec_id as id, 'left_only' as side from embeddings where vec_id not in (select doc_id from documents) union all select distinct doc_id, 'right_only' from documents where doc_id not in (select vec_id from embeddings)",
     "surface_text": "select doc_id, case when length(s) > 60 then left(s, 60) || '...' else s end as surface from (select doc_id, coalesce(nullif(trim(title), ''), coalesce(text, '')) as s from documents)",
     "id_formats": "select hearing_id, coalesce(congress::varchar, '') || '___' || coalesce(committee, '') || '___' || coalesce(hearing_title, '') as composite, 'q' || lpad(regexp_extract(hearing_id, '(\\d+)$', 1), 7, '0') as padded, translate(hearing_id, '/-.', '___') as slug, regexp_extract(hearing_id, '^CHRG-(\\d+)', 1)::int as congress_of from hearings",
@@ -369,7 +374,7 @@ select doc_id, nth, n_words from (select doc_id, n_words, row_number() over (par
     "exchange_ids": f"with {_EXCH} select doc_id, hearing_id, exchange from x",
     "exchange_types": f"with {_EXCH}, g as (select hearing_id, exchange, count(*) as n_turns, sum(len({words_sql('text')}))::bigint as n_words from x group by all) select *, case when n_turns = 1 and n_words > 300 then 'opening_statement' when n_turns = 1 then 'procedural' else 'qa_exchange' end as type from g",
     "long_enough": f"select doc_id from documents where length(trim(text)) >= 100 and len({words_sql('text')}) >= 50",
-    "junk_themes": "select qid, theme from queries where not (" + " or ".join(f"contains(lower(coalesce(theme, '')), '{p}')" for p in T.JUNK_THEMES) + ")",
+    "junk_themes": "select qid, theme from queries where not (" + " or ".join(f"contains(lower(coalesce(theme, '')), '{p}')" for p in ("insufficient information", "unable to determine", "unspecified", "uncategorized", "no clear", "not enough", "unclear", "general comment", "no implicit", "no stance", "neutral", "miscellaneous", "other", "unknown", "n/a")) + ")",
     "keyword_documents": "select doc_id, k as keywords from (select doc_id, array_to_string(list_filter([" + ", ".join(f"'{k}'" for k in KEYWORDS) + "], lambda k: contains(lower(coalesce(text, '')), k)), ',') as k from documents) where k <> ''",
     "blocked_sources": "select doc_id, source from documents where lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) not in ('crawl_00', 'crawl_01')",
     "authorship_qrels": "select a.hearing_id as qid, b.hearing_id as did, 1 as grade from hearings a join hearings b on a.committee = b.committee and a.congress <> b.congress and a.hearing_id <> b.hearing_id",

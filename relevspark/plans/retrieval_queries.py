@@ -18,8 +18,8 @@ from relevspark.plans.tables import Tables
 from relevspark.runtime import cut
 
 
-def run_of(t: Tables, flavor: str):
-    return L.bm25(t.query_tokens(), t.doc_tokens(), flavor)
+def run_of(t: Tables, flavor: str, tokenizer=T.tokenize_ascii):
+    return L.bm25(t.query_tokens(tokenizer), t.doc_tokens(tokenizer), flavor)
 
 
 # -- SQL pieces -------------------------------------------------------------------------------------------------------------
@@ -27,7 +27,13 @@ def tok(c: str) -> str:
     return f"regexp_extract_all(lower(replace(coalesce({c}, ''), 'İ', 'i̇')), '[a-z0-9]{{2,}}')"
 
 
-def bm25_ctes(flavor: str, name: str = "run") -> str:
+def word_tok(c: str) -> str:
+    stop = "'a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with'"
+    words = f"regexp_extract_all(lower(replace(coalesce({c}, ''), 'İ', 'i̇')), '[\\p{{L}}\\p{{Nl}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\x{{200C}}\\x{{200D}}]{{2,}}')"
+    return f"list_filter({words}, lambda w: w not in ({stop}))"
+
+
+def bm25_ctes(flavor: str, name: str = "run", tok=tok) -> str:
     idf = "ln(1 + (n - df + 0.5) / (df + 0.5))"
     floor = ""
     if flavor == "okapi":
@@ -63,6 +69,11 @@ def bm25_lucene_top100(t: Tables):
     return R.top_k(run_of(t, "lucene"), 100)
 
 
+def bm25_lucene_word_top100(t: Tables):
+    """The lucene flavor over Unicode words without stop words."""
+    return R.top_k(run_of(t, "lucene", T.tokenize_word), 100)
+
+
 def bm25_excluded(t: Tables):
     return R.top_k(R.exclude(run_of(t, "lucene"), t.qrels()), 50)
 
@@ -72,26 +83,31 @@ def dense_top50(t: Tables):
 
 
 def dense_top50_blocks(t: Tables):
-    return D.dense_topk_blocks(t.vector_queries(), t.vectors(), 50)
+    """The same with small blocks of queries."""
+    return D.dense_topk(t.vector_queries(), t.vectors(), 50, block=7)
 
 
 def dense_other_label(t: Tables):
-    q, d = t.vector_queries(), t.vectors()
-    same = q.select("qid", "label").join(d.select("did", "label"), "label").select("qid", "did")
-    return D.dense_topk(q, d, 20, same)
+    return D.dense_topk(t.vector_queries(), t.vectors(), 20, unlike="label")
 
 
 def dense_coverage(t: Tables):
     """The nearest documents that are not judged yet: judged are those within the first ten."""
-    run = D.scores(t.vector_queries(), t.vectors())
-    return R.top_k(R.exclude(run, R.top_k(run, 10)), 50)
+    run = D.dense_topk(t.vector_queries(), t.vectors(), 60)
+    return run.where("rank > 10").withColumn("rank", F.col("rank") - 10)
+
+
+def dense_excluded(t: Tables):
+    """The nearest documents without the first three of each query, which travel with it as pairs to exclude."""
+    near = D.dense_topk(t.vector_queries(), t.vectors(), 3)
+    return D.dense_topk(t.vector_queries(), t.vectors(), 20, near.select("qid", "did"))
 
 
 def maxsim_top20(t: Tables):
     """Each five vectors in a row are the tokens of one text."""
     toks = t.vectors().select(F.floor(F.col("did") / 5).alias("did"), (F.col("did") % 5).alias("dtok"), "vec")
     q = toks.where("did % 20 = 0").select(F.col("did").alias("qid"), F.col("dtok").alias("qtok"), "vec")
-    return R.top_k(D.maxsim(q, toks), 20)
+    return D.maxsim_topk(q, toks, 20)
 
 
 def rescored_subset(t: Tables):
@@ -260,8 +276,9 @@ def multihop_ranked(t: Tables):
     """Three hops of five unseen vectors; the next query is the sum of the query and its best new vector."""
     docs, queries = t.vectors(), t.vector_queries().select("qid", "vec")
 
-    def search(state, _):
-        return D.scores(state, docs)
+    def search(state, barred):
+        # as many as a hop takes; documents seen before do not count
+        return D.dense_topk(state, docs, 5, barred)
 
     def select(found, hop):
         return found.withColumn("selected", (F.col("rank") <= 2))
@@ -292,18 +309,20 @@ def multihop_sql(hops: int = 3, per: int = 5) -> str:
     return f"with {', '.join(out)}, a as ({allh}), o as (select a.*, round(list_inner_product(q.v, d.v), 6) as os from a join vec q on q.vec_id = a.qid join vec d on d.vec_id = a.did) select qid, did, row_number() over (partition by qid order by selected desc, os desc, did) as rank, hop, selected from o"
 
 
-QUERIES = {f.__name__: f for f in (bm25_okapi_top100, bm25_lucene_top100, bm25_excluded, dense_top50, dense_top50_blocks, dense_other_label, dense_coverage, maxsim_top20, rescored_subset, union_candidates, first_scores, gold_inject, gold_inject_math, injected_counts, rank_to_score, pool_topk, pool_unjudged, qrels_pooled, metrics_per_query, metrics_mean, metrics_by_theme, best_rank_histogram, mrr_grade2, tournament_single, tournament_recursive, multihop_ranked)}
+QUERIES = {f.__name__: f for f in (bm25_okapi_top100, bm25_lucene_top100, bm25_lucene_word_top100, bm25_excluded, dense_top50, dense_top50_blocks, dense_other_label, dense_coverage, dense_excluded, maxsim_top20, rescored_subset, union_candidates, first_scores, gold_inject, gold_inject_math, injected_counts, rank_to_score, pool_topk, pool_unjudged, qrels_pooled, metrics_per_query, metrics_mean, metrics_by_theme, best_rank_histogram, mrr_grade2, tournament_single, tournament_recursive, multihop_ranked)}
 
 _POOL = "pooled as (select distinct qid, did from stacked where rank <= 10)"
 _UNJ = "unj as (select * from pooled where (qid, did) not in (select (qid, did) from gold))"
 SQL = {
     "bm25_okapi_top100": f"with {bm25_ctes('okapi')} {ranked('run', 100)}",
     "bm25_lucene_top100": f"with {bm25_ctes('lucene')} {ranked('run', 100)}",
+    "bm25_lucene_word_top100": f"with {bm25_ctes('lucene', tok=word_tok)} {ranked('run', 100)}",
     "bm25_excluded": f"with {bm25_ctes('lucene')}, {QRELS}, x as (select * from run where (qid, did) not in (select (qid, did) from gold)) {ranked('x', 50)}",
     "dense_top50": f"with {DENSE}, x as (select qid, did, score from dense) {ranked('x', 50)}",
     "dense_top50_blocks": f"with {DENSE}, x as (select qid, did, score from dense) {ranked('x', 50)}",
     "dense_other_label": f"with {DENSE}, x as (select qid, did, score from dense where ql <> dl) {ranked('x', 20)}",
     "dense_coverage": f"with {DENSE}, x as (select qid, did, score from (select *, row_number() over (partition by qid order by score desc, did) as r from dense) where r > 10) {ranked('x', 50)}",
+    "dense_excluded": f"with {DENSE}, x as (select qid, did, score from (select *, row_number() over (partition by qid order by score desc, did) as r from dense) where r > 3) {ranked('x', 20)}",
     "maxsim_top20": f"with vec as ({VEC}), tk as (select vec_id // 5 as did, vec_id % 5 as tok, v from vec), p as (select q.did as qid, q.tok as qtok, d.did as did, max(round({DOT}, 6)) as s from tk q, tk d where q.did % 20 = 0 group by all), x as (select qid, did, round(sum(s), 6) as score from p group by all) {ranked('x', 20)}",
     "rescored_subset": f"with {DENSE} select qid, did, score from dense where ql = dl",
     "union_candidates": f"with {STACKED} select qid, did, pos, scores from candidates",
@@ -314,7 +333,7 @@ SQL = {
     "rank_to_score": f"with {STACKED}, r as ({ranked('okapi', 10)}) select qid, did, count(*) over (partition by qid) - row_number() over (partition by qid order by rank nulls last, pos nulls last, did) + 1 as score from candidates full join (select qid, did, rank from r) using (qid, did)",
     "pool_topk": f"with {STACKED}, {_POOL} select * from pooled",
     "pool_unjudged": f"with {STACKED}, {QRELS}, {_POOL}, {_UNJ} select * from unj",
-    "qrels_pooled": f"with {STACKED}, {QRELS}, {_POOL}, {_UNJ}, j as (select qid, did, case when score >= 30 then 2 when score >= 15 then 1 else 0 end as grade from unj join okapi using (qid, did)) select qid, did, grade from gold union all select qid, did, grade from j where grade > 0",
+    "qrels_pooled": f"with {STACKED.replace('stacked as (', 'stacked as materialized (').replace('okapi as (', 'okapi as materialized (')}, {QRELS}, {_POOL}, u as materialized (select qid, did from pooled except select qid, did from gold), j as (select qid, did, case when score >= 30 then 2 when score >= 15 then 1 else 0 end as grade from okapi semi join u using (qid, did)) select qid, did, grade from gold union all select qid, did, grade from j where grade > 0",
     "metrics_per_query": f"with {METRICS} select * from m",
     "metrics_mean": f"with {METRICS}, {LONG} select metric, {STATS} from long group by metric",
     "metrics_by_theme": f"with {METRICS}, {LONG} select theme, metric, {STATS} from long join (select qid, lower(coalesce(split_part(theme, ' ', 1), 'unknown')) as theme from queries) using (qid) group by theme, metric",
