@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -102,3 +103,47 @@ def canonical_label(c: str):
 def judge(score: str, high: float = 0.6, low: float = 0.3):
     """Grades 2, 1 or 0 by two thresholds of a similarity."""
     return F.when(F.col(score) >= high, 2).when(F.col(score) >= low, 1).otherwise(0)
+
+
+def ask_batched(df: DataFrame, key: str, text: str, client: Client, n: int = 15, intro: str = "", tries: int = 4, first: float = 2.0) -> DataFrame:
+    """``<key>, reply, status``: rows are put into prompts of ``n`` numbered texts, and a reply is a JSON list of objects with those numbers as ``n``.
+
+    An answer belongs to the row whose number it names, never to an id that a reply repeats; rows that a reply leaves out are ``missing`` and rows of a
+    failed call ``failed: ...``, so that ``todo`` asks for them again.  Which rows share a prompt changes no row's own key.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = with_retry(client, tries, first)
+        for pdf in frames:
+            keys, texts = pdf["k"].tolist(), pdf["t"].fillna("").tolist()
+            out = []
+            for at in range(0, len(keys), n):
+                part = texts[at : at + n]
+                reply, status = call("\n".join([intro, *(f"[{i}] {t}" for i, t in enumerate(part, 1))]))
+                said: dict[int, str] = {}
+                try:
+                    for x in json.loads(reply or "[]"):
+                        said.setdefault(int(x["n"]), json.dumps({k: v for k, v in x.items() if k != "n"}, ensure_ascii=False))
+                except (ValueError, KeyError, TypeError):
+                    status = "failed: no list"
+                for i in range(len(part)):
+                    ok = i + 1 in said
+                    out.append((keys[at + i], said.get(i + 1), "ok" if ok else status if status.startswith("failed") else "missing"))
+            yield pd.DataFrame(out, columns=["k", "reply", "status"])
+
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(work, f"k {kind}, reply string, status string").withColumnRenamed("k", key)
+
+
+def sweep(df: DataFrame, key: str, text: str, client: Client, path: str, schema: str, n: int = 15, intro: str = "", rounds: int = 3, first: float = 2.0) -> DataFrame:
+    """``<key>, parsed`` of every row that got an answer within ``rounds`` rounds; each round asks what the log at ``path`` lacks."""
+    from relevspark.streaming.resume import append, read_or_none, todo
+
+    spark = df.sparkSession
+    for _ in range(rounds):
+        left = todo(df, read_or_none(spark, path), [key])
+        if not left.limit(1).count():
+            break
+        append(ask_batched(left, key, text, client, n, intro, 1, first), path)
+    said = spark.read.parquet(path).where("status = 'ok'").dropDuplicates([key])
+    return said.select(key, F.from_json("reply", schema).alias("parsed"))

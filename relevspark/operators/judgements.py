@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most names of a block list; a longer one is an error, not cut.
+MOST_NAMES = 100_000
+
 
 def dedup(df: DataFrame, keys: list[str], orders: list[Column]) -> DataFrame:
     """One row of each key: the first in ``orders``."""
@@ -92,5 +95,36 @@ def solution_of(queries: DataFrame, solutions: DataFrame, contained: bool = Fals
     """``qid, solution`` by the full composite id, or (``contained``) by the first solution, in order of position, whose key holds the query's id."""
     if not contained:
         return queries.select("qid", F.col("problem_key").alias("key")).join(solutions.select("key", "solution"), "key").select("qid", "solution")
-    hits = queries.select("qid", "problem_key").join(solutions, F.contains(F.col("key"), F.col("problem_key")))
+    # every part of a key that is as long as some query's id, so that containment is an equality; there are at most as many lengths as a key has characters
+    sizes = queries.where("problem_key <> ''").select(F.length("problem_key").alias("n")).distinct().agg(F.sort_array(F.collect_set("n")).alias("_sizes"))
+    parts = F.flatten(F.transform(F.filter("_sizes", lambda n: n <= F.length("key")), lambda n: F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substr("key", i, n))))
+    held = solutions.where("key is not null").crossJoin(F.broadcast(sizes)).select("solution", "pos", F.explode(F.array_distinct(parts)).alias("problem_key"))
+    hits = queries.select("qid", "problem_key").join(held, "problem_key")
     return hits.groupBy("qid").agg(F.min_by("solution", "pos").alias("solution"))
+
+
+def author_groups(docs: DataFrame) -> DataFrame:
+    """``sid, author, post, n_relevant, n_excluded``: membership instead of pairs, with the numbers of documents that ``same_author`` and ``same_post`` would pair each with.
+
+    Groups are counted before they are joined, so a group of any size costs its rows, not their pairs.
+    """
+    rows = docs.where("author is not null")
+    post = rows.groupBy("author", "post").agg(F.count(F.lit(1)).alias("n_excluded"))
+    author = rows.where("post is not null").groupBy("author").agg(F.count(F.lit(1)).alias("_n"))
+    counted = post.join(author, "author", "left")
+    known = F.col("post").isNotNull()
+    counts = counted.select(F.col("author").alias("_author"), F.col("post").alias("_post"), F.when(known, F.col("_n") - F.col("n_excluded")).otherwise(0).alias("n_relevant"), F.when(known, F.col("n_excluded")).otherwise(0).alias("n_excluded"))
+    same = (F.col("author") == F.col("_author")) & F.col("post").eqNullSafe(F.col("_post"))
+    return rows.join(counts, same).select("sid", "author", "post", "n_relevant", "n_excluded")
+
+
+def blocked(df: DataFrame, columns: list[str], names: DataFrame) -> DataFrame:
+    """Rows of ``df`` of which none of the ``columns`` (strings, or lists of them) holds one of the ``names`` (name; a list kept by hand, sent along as one row), case and blanks aside."""
+    from relevspark.functions import text as T
+
+    if names.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError("the list of names is larger than what may be sent to every executor")
+    lists = [F.col(c) if t.startswith("array") else F.array(c) for c, t in df.dtypes if c in columns]
+    stop = names.agg(F.collect_set(T.normalize_name("name")).alias("_stop"))
+    held = F.transform(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)), lambda x: F.coalesce(T.normalize_name(x), F.lit("")))
+    return df.crossJoin(F.broadcast(stop)).where(~F.arrays_overlap(held, F.col("_stop"))).drop("_stop")

@@ -53,3 +53,31 @@ def bm25(queries: DataFrame, docs: DataFrame, flavor: str = "lucene", k1: float
     part = F.col("tf") * (k1 + 1 if flavor == "okapi" else 1.0) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.join(weights, "term").groupBy("qid", "did").agg(F.sum(F.col("w") * part).alias("score"))
     return scored.select("qid", "did", F.round("score", DIGITS).alias("score"))
+
+
+def build_index(docs: DataFrame, path: str, fingerprint: str) -> dict[str, DataFrame]:
+    """The stored index of ``did, tokens`` under ``path``: postings in the order of terms (so that a scan for some terms skips most files), and one row of statistics.
+
+    An index of the same fingerprint is read, not built again.
+    """
+    from relevspark.streaming.resume import stage
+
+    spark = docs.sparkSession
+
+    def postings() -> DataFrame:
+        tf = docs.select("did", F.size("tokens").cast("double").alias("dl"), F.explode("tokens").alias("term")).groupBy("did", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+        return tf.repartitionByRange("term", "did").sortWithinPartitions("term", "did")
+
+    return {"postings": stage(spark, f"{path}/postings", postings, fingerprint), "stats": stage(spark, f"{path}/stats", lambda: corpus_stats(docs), fingerprint)}
+
+
+def bm25_indexed(queries: DataFrame, index: dict[str, DataFrame], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The lucene flavor of ``bm25`` from a stored index; no text is read."""
+    wanted = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
+    postings = index["postings"].join(wanted.select("term").distinct(), "term", "left_semi")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    stats = F.broadcast(index["stats"])
+    weights = wanted.join(df, "term").crossJoin(stats.select("n")).select("qid", "term", (F.col("qtf") * F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+    part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = postings.crossJoin(stats.select("avgdl")).join(weights, "term").groupBy("qid", "did").agg(F.sum(F.col("w") * part).alias("score"))
+    return scored.select("qid", "did", F.round("score", DIGITS).alias("score"))

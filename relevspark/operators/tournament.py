@@ -87,3 +87,10 @@ def tournament(candidates: DataFrame, compare: Comparator, batch: int = 20, keep
         out = out.unionByName(d)
     w = Window.partitionBy("qid").orderBy(F.col("is_final").desc(), F.col("depth").desc(), "place", "batch", "did")
     return out.select("qid", "did", F.row_number().over(w).cast("bigint").alias("rank"))
+
+
+def rerank_selected(ranked: DataFrame, compare: Comparator) -> DataFrame:
+    """``qid, did, rank``: the ``selected`` documents of ``qid, did, rank, selected, ...`` in the order of one listwise comparison, then the others as they were."""
+    first = compare(ranked.where("selected").withColumn("deal", F.col("rank")).withColumn("batch", F.lit(0).cast("bigint")).withColumn("depth", F.lit(0)))
+    both = first.select("qid", "did", F.lit(0).alias("_s"), F.col("place").cast("bigint").alias("_p")).unionByName(ranked.where("not selected").select("qid", "did", F.lit(1).alias("_s"), F.col("rank").alias("_p")))
+    return both.select("qid", "did", F.row_number().over(Window.partitionBy("qid").orderBy("_s", "_p", "did")).cast("bigint").alias("rank"))

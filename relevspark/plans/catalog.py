@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevspark.plans import collection_queries, retrieval_queries
+from relevspark.plans import collection_queries, pipeline_queries, retrieval_queries
 from relevspark.plans.tables import Tables
 
 
@@ -20,12 +20,12 @@ def _on_folder(f: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    both = collection_queries.QUERIES | retrieval_queries.QUERIES
+    both = collection_queries.QUERIES | retrieval_queries.QUERIES | pipeline_queries.QUERIES
     return {name: _on_folder(f) for name, f in both.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return collection_queries.SQL | retrieval_queries.SQL
+    return collection_queries.SQL | retrieval_queries.SQL | pipeline_queries.SQL
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,11 +29,13 @@ def monthly(df: DataFrame, time_col: str, path: str) -> None:
 
 def query_summaries(queries: DataFrame, qrels: DataFrame, docs: DataFrame, most: int = 10, chars: int = 200) -> DataFrame:
     """One row a query: counts by grade and its best documents, the highest grade first, texts cut (a report)."""
-    rel = qrels.join(docs.select("did", F.left("text", F.lit(chars)).alias("text")), "did", "left")
-    items = F.sort_array(F.collect_list(F.struct((-F.col("grade")).alias("neg"), "did", "text")))
-    by = rel.groupBy("qid").agg(F.count(F.lit(1)).alias("n_relevant"), F.sum((F.col("grade") == 2).cast("bigint")).alias("n_score2"), F.sum((F.col("grade") == 1).cast("bigint")).alias("n_score1"), items.alias("_i"))
-    top = F.transform(F.slice("_i", 1, most), lambda x: F.struct((-x["neg"]).alias("grade"), x["did"].alias("did"), x["text"].alias("text")))
-    return queries.join(by, "qid").select(*queries.columns, "n_relevant", "n_score2", "n_score1", top.alias("relevant"))
+    counts = qrels.groupBy("qid").agg(F.count(F.lit(1)).alias("n_relevant"), F.sum((F.col("grade") == 2).cast("bigint")).alias("n_score2"), F.sum((F.col("grade") == 1).cast("bigint")).alias("n_score1"))
+    # the best are chosen before a text moves
+    first = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("grade").desc(), "did"))
+    best = qrels.select("qid", "did", "grade").withColumn("_n", first).where(F.col("_n") <= most).join(docs.select("did", F.left("text", F.lit(chars)).alias("text")), "did", "left")
+    items = best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("_n", "grade", "did", "text"))).alias("_i"))
+    top = F.transform("_i", lambda x: F.struct(x["grade"].alias("grade"), x["did"].alias("did"), x["text"].alias("text")))
+    return queries.join(counts, "qid").join(items, "qid").select(*queries.columns, "n_relevant", "n_score2", "n_score1", top.alias("relevant"))
 
 
 def results(metrics: DataFrame, run: DataFrame, k: int = 100) -> DataFrame:
