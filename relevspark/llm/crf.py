@@ -28,37 +28,39 @@ class ChainCRF:
                 flat.extend(i for f in feats if (i := get(f)) is not None)
         return np.array(flat, np.int64), np.array(starts, np.int64), np.array([len(s) for s in sentences], np.int64)
 
-    @staticmethod
-    def _grid(lengths):
-        most = int(lengths.max())
-        mask = np.arange(most)[None, :] < lengths[:, None]
-        return mask
+    def _recursions(self, e: np.ndarray, start: np.ndarray, size: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        """Forward-backward over sentences, the longest first, of ``e`` (labels, tokens); writes their ``gamma`` and returns the expected transitions.
 
-    def _forward_backward(self, emission, mask):
-        """Log partition, token marginals and expected transitions of padded ``emission`` (n, t, k)."""
-        n, t, k = emission.shape
-        top = emission.max(2, keepdims=True)
-        e = np.exp(emission - top)
-        a = np.exp(self.trans)
-        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones((n, t))
-        cur = e[:, 0] * np.exp(self.begin)
-        for i in range(t):
-            if i:
-                nxt = (cur @ a) * e[:, i]
-                cur = np.where(mask[:, i, None], nxt, cur)
-            s = cur.sum(1)
-            scale[:, i] = np.where(mask[:, i], s, 1.0)
-            cur = cur / s[:, None]
-            alpha[:, i] = cur
-        cur = np.ones((n, k))
-        for i in range(t - 1, -1, -1):
-            beta[:, i] = cur
-            prev = ((e[:, i] * cur) @ a.T) / scale[:, i, None]
-            cur = np.where(mask[:, i, None], prev, cur)
-        gamma = alpha * beta
-        gamma /= gamma.sum(2, keepdims=True)
-        logz = (np.log(scale) + top[:, :, 0] * mask).sum(1)
-        return logz, gamma, (alpha, beta, e, a, scale)
+        At each place only the sentences that go on take part, and these are the first columns.
+        """
+        step, back, begin = (np.exp(x).astype(e.dtype) for x in (self.trans.T, self.trans, self.begin))
+        longest = int(size[0])
+        going = np.searchsorted(-size, -np.arange(longest), "left")
+        alphas, cells, scales = [], [], []
+        for i in range(longest):
+            n = going[i]
+            cell = e[:, start[:n] + i]
+            a = cell * begin[:, None] if i == 0 else (step @ alphas[-1][:, :n]) * cell
+            total = a.sum(0)
+            a /= total
+            alphas.append(a)
+            cells.append(cell)
+            scales.append(total)
+        expected = np.zeros(back.shape)
+        beta = None
+        for i in range(longest - 1, -1, -1):
+            n = going[i]
+            b = np.ones((len(e), n), e.dtype)
+            if beta is not None:
+                m = beta.shape[1]
+                right = cells[i + 1] * beta / scales[i + 1]
+                b[:, :m] = back @ right
+                expected += back * (alphas[i][:, :m] @ right.T)
+            g = alphas[i] * b
+            g /= g.sum(0)
+            gamma[:, start[:n] + i] = g
+            beta = b
+        return expected
 
     # -- training -----------------------------------------------------------------------------------------------
     def fit(self, sentences, tags) -> ChainCRF:
@@ -71,28 +73,32 @@ class ChainCRF:
         self.weight = np.zeros((rows, k))
         self.trans, self.begin = np.zeros((k, k)), np.zeros(k)
         flat, starts, lengths = self._pack(sentences)
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-        mask = self._grid(lengths)
-        gold = np.zeros(mask.shape, np.int64)
-        gold[mask] = np.concatenate([np.asarray(x) for x in tags])
-        one = np.eye(k)
+        counts = np.diff(np.append(starts, len(flat)))
+        by_feature = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(starts)), counts)[by_feature]
+        used, first_of = np.unique(flat[by_feature], return_index=True)
+        gold = np.concatenate([np.asarray(x) for x in tags])
+        one = np.eye(k)[gold]
+        first = np.cumsum(lengths) - lengths
+        inner = np.ones(len(gold), bool)
+        inner[first[lengths > 0]] = False
+        at = np.flatnonzero(inner)
         gold_trans = np.zeros((k, k))
-        both = mask[:, 1:]
-        np.add.at(gold_trans, (gold[:, :-1][both], gold[:, 1:][both]), 1.0)
+        np.add.at(gold_trans, (gold[at - 1], gold[at]), 1.0)
+        order = np.argsort(-lengths, kind="stable")
+        order = order[lengths[order] > 0]
+        begins = first[order]
         params = [self.weight, self.trans, self.begin]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        gamma = np.zeros((k, len(gold)))
         for step in range(1, self.steps + 1):
-            grid = np.zeros((*mask.shape, k))
-            grid[mask] = np.add.reduceat(self.weight[flat], starts, axis=0)
-            _, gamma, (alpha, beta, e, a, scale) = self._forward_backward(grid, mask)
-            diff = (gamma - one[gold])[mask]
+            score = np.add.reduceat(self.weight[flat], starts, axis=0).T
+            e = np.exp(score - score.max(0))
+            g_t = self._recursions(e, begins, lengths[order], gamma) - gold_trans
+            diff = gamma.T - one
             g_w = np.zeros_like(self.weight)
-            for j in range(k):
-                g_w[:, j] = np.bincount(flat, weights=diff[owner, j], minlength=rows)
-            left = alpha[:, :-1] * both[:, :, None]
-            right = e[:, 1:] * beta[:, 1:] / scale[:, 1:, None]
-            g_t = np.einsum("nti,ntj->ij", left, right) * a - gold_trans
-            g_b = gamma[:, 0].sum(0) - one[gold[:, 0]].sum(0)
+            g_w[used] = np.add.reduceat(diff[owner], first_of, axis=0)
+            g_b = diff[begins].sum(0)
             for n, (p, g) in enumerate(zip(params, (g_w, g_t, g_b))):
                 g = g + self.l2 * p * 100
                 m[n] = 0.9 * m[n] + 0.1 * g
@@ -108,36 +114,13 @@ class ChainCRF:
         e -= e.max(0)
         np.exp(e, out=e)
         gamma = np.empty_like(e)
-        step, back, begin = (np.exp(x).astype(e.dtype) for x in (self.trans.T, self.trans, self.begin))
         order = np.argsort(-lengths, kind="stable")
         at = 0
         while at < len(order) and lengths[order[at]]:
-            # the longest first, so that those that go on are the first columns; batches are bounded in tokens of their longest
+            # batches are bounded in tokens of their longest
             part = order[at : at + max(1, 400_000 // int(lengths[order[at]]))]
             at += len(part)
-            start, size = first[part], lengths[part]
-            longest = int(size[0])
-            going = np.searchsorted(-size, -np.arange(longest), "left")
-            alphas, cells = [], []
-            for i in range(longest):
-                n = going[i]
-                cell = e[:, start[:n] + i]
-                a = cell * begin[:, None] if i == 0 else (step @ alphas[-1][:, :n]) * cell
-                a /= a.sum(0)
-                alphas.append(a)
-                cells.append(cell)
-            beta = None
-            for i in range(longest - 1, -1, -1):
-                n = going[i]
-                b = np.ones((len(e), n), e.dtype)
-                if beta is not None:
-                    m = beta.shape[1]
-                    b[:, :m] = back @ (cells[i + 1] * beta)
-                    b[:, :m] /= b[:, :m].sum(0)
-                g = alphas[i] * b
-                g /= g.sum(0)
-                gamma[:, start[:n] + i] = g
-                beta = b
+            self._recursions(e, first[part], lengths[part], gamma)
         return gamma.T
 
     def marginals(self, sentences) -> list[np.ndarray]:
