@@ -70,7 +70,7 @@ class ChainCRF:
                 for f in feats:
                     self.index.setdefault(f, len(self.index))
         k, rows = len(self.labels), len(self.index) + 1
-        self.weight = np.zeros((rows, k))
+        self.weight = np.zeros((rows, k), np.float32)
         self.trans, self.begin = np.zeros((k, k)), np.zeros(k)
         flat, starts, lengths = self._pack(sentences)
         counts = np.diff(np.append(starts, len(flat)))
@@ -78,7 +78,7 @@ class ChainCRF:
         owner = np.repeat(np.arange(len(starts)), counts)[by_feature]
         used, first_of = np.unique(flat[by_feature], return_index=True)
         gold = np.concatenate([np.asarray(x) for x in tags])
-        one = np.eye(k)[gold]
+        one = np.eye(k, dtype=np.float32)[gold]
         first = np.cumsum(lengths) - lengths
         inner = np.ones(len(gold), bool)
         inner[first[lengths > 0]] = False
@@ -90,12 +90,12 @@ class ChainCRF:
         begins = first[order]
         params = [self.weight, self.trans, self.begin]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        gamma = np.zeros((k, len(gold)))
+        gamma = np.zeros((k, len(gold)), np.float32)
         for step in range(1, self.steps + 1):
             score = np.add.reduceat(self.weight[flat], starts, axis=0).T
             e = np.exp(score - score.max(0))
             g_t = self._recursions(e, begins, lengths[order], gamma) - gold_trans
-            diff = gamma.T - one
+            diff = np.ascontiguousarray(gamma.T) - one
             g_w = np.zeros_like(self.weight)
             g_w[used] = np.add.reduceat(diff[owner], first_of, axis=0)
             g_b = diff[begins].sum(0)
