@@ -323,6 +323,122 @@ def ranked_results(t: Tables):
     return r.select("qid", "n_relevant", F.array_join(F.transform("ranked", lambda x: x["did"].cast("string")), ",").alias("ranked"))
 
 
+# -- pages, remote sources, resumable work --------------------------------------------------------------------------------------------
+def stripped_pages(t: Tables):
+    """Text nodes of pages made of documents; the body of a script is one of them."""
+    escaped = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<!-- no --><div><p>"), escaped, F.lit("</p><script>var x;</script></div>"))
+    return t("documents").select("doc_id", F.md5(P.strip_html(html)).alias("digest"))
+
+
+def parsed_pages(t: Tables):
+    """Title, author and byline of pages made of speakers."""
+    html = F.concat(F.lit('<html><head><title> '), "full_name", F.lit('  page</title><meta name="author" content="'), "full_name", F.lit('"></head><body><nav>menu</nav><article><p>By '), "full_name", F.lit("</p></article></body></html>"))
+    return t("speakers").where("full_name is not null").select("speaker_id", P.parse_page(html).alias("p")).select("speaker_id", "p.title", "p.author", F.size("p.links").alias("n_links"))
+
+
+def carried_authors(t: Tables):
+    """Links of an index page with the author of the last anchor before them."""
+    links = t("speakers").where("full_name is not null").select(F.col("hearing_id").alias("page"), F.col("speaker_id").alias("pos"), F.when(F.col("office") == "member", F.concat(F.element_at(F.split("full_name", " "), -1), F.lit("_"), F.split("full_name", " ")[0])).otherwise(F.lit("")).alias("name"))
+    return P.carry_author(links).select("page", "pos", "author")
+
+
+def paged_listing(t: Tables):
+    """Two listings with overlapping keys, read page by page; a cursor that repeats ends one of them."""
+    from relevspark.sources.paged import listing
+
+    def pages(first: int, last: int):
+        def fetch(cursor):
+            at = int(cursor or first)
+            rows = [{"id": f"k{n}", "n": n} for n in range(at, min(at + 10, last))]
+            return rows, str(at + 10) if at + 10 < last else cursor
+
+        return fetch
+
+    return listing(t.spark, {"a": pages(0, 55), "b": pages(40, 90)}, "id string, n bigint", "id")
+
+
+def downloaded_pages(t: Tables):
+    """Pages of hearings by a transport that asks for patience, fails for some addresses, and has others empty."""
+    from relevspark.sources.paged import download
+
+    class Get:
+        def __init__(self):
+            self.asked = set()
+
+        def __call__(self, url: str):
+            if url not in self.asked:
+                self.asked.add(url)
+                return 429, "", 0.0
+            if url.endswith("1.htm"):
+                return 404, "", None
+            return 200, "" if url.endswith("2.htm") else url.upper(), None
+
+    urls = t("hearings").select(F.concat("hearing_id", F.lit(".htm")).alias("url"))
+    return download(urls, Get(), fallbacks=[lambda u: u.replace("1.htm", "1.txt")])
+
+
+def resumed_log(t: Tables):
+    """A log of processed documents: the first run fails for documents without a language, the second asks for these alone, the third for none."""
+    from relevspark.streaming.resume import process
+
+    path, d = _place(t, "log"), t("documents").select("doc_id", "lang")
+    process(d, path, ["doc_id"], lambda x: x.select("doc_id", F.when(F.col("lang").isNull(), "failed").otherwise("ok").alias("status"), F.lit(1).alias("run")))
+    process(d, path, ["doc_id"], lambda x: x.select("doc_id", F.lit("ok").alias("status"), F.lit(2).alias("run")))
+    done = process(d, path, ["doc_id"], lambda x: x.select("doc_id", F.lit("ok").alias("status"), F.lit(3).alias("run")))
+    return done.groupBy("run", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stored_stage(t: Tables):
+    """A stage that is built once under its fingerprint and read again; another fingerprint builds it anew."""
+    from relevspark.streaming.resume import stage
+
+    path = _place(t, "stage")
+    build = lambda tag: lambda: t("queries").select("qid", F.lit(tag).alias("tag"))
+    rows = [stage(t.spark, path, build(tag), fp) for tag, fp in (("first", "a"), ("second", "a"), ("third", "b"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def encoded_cached(t: Tables):
+    """Vectors of queries by an encoder that is asked once for each text, from its store on the second call."""
+    import numpy as np
+
+    from relevspark.operators.encode import encode_cached
+
+    path, q = _place(t, "vectors"), t("queries").select("qid", "query_text")
+    encoder = lambda texts, task: np.array([[len(x), x.count("e")] for x in texts], np.float32)
+    encode_cached(q, "qid", "query_text", encoder, path, "query")
+    return encode_cached(q, "qid", "query_text", lambda texts, task: np.zeros((len(texts), 2), np.float32), path, "query").select("qid", F.array_join(F.transform("vec", lambda x: x.cast("int").cast("string")), ",").alias("vec"))
+
+
+def flag_rate(t: Tables):
+    """The share of conversations of more than two turns."""
+    from relevspark.operators.stats import rate
+
+    return rate(t("wild_conversations"), F.col("turn") > 2).select(F.round("rate", 6).alias("rate"))
+
+
+def run_summary(t: Tables):
+    """The means of a run as its summary has them, one row a metric."""
+    s = sinks.summary(M.long_form(RQ.metrics_per_query(t)), "bm25", 0)
+    return s.select("model", "n_queries", F.explode("metrics").alias("metric", "value")).where("metric in ('map', 'mrr', 'ndcg_10')")
+
+
+def exclusions_read_back(t: Tables):
+    """Pairs to exclude written as one JSON object from queries to lists (the file's format), and read back."""
+    path = _place(t, "exclusions")
+    lists = t.qrels().where("grade = 2").groupBy("qid").agg(F.collect_list(F.col("did").cast("string")).alias("d"))
+    one = lists.agg(F.map_from_entries(F.collect_list(F.struct("qid", "d"))).alias("m"))
+    one.select(F.to_json("m").alias("value")).coalesce(1).write.text(path)
+    return readers.exclusions(t.spark, path)
+
+
+def pool_counts(t: Tables):
+    """The first rank of a relevant document and the size of the pool of each judged query."""
+    n = RQ.union_candidates(t).groupBy("qid").agg(F.count(F.lit(1)).alias("n_candidates"))
+    return RQ._metrics(t).select("qid", "best_rank", "n_relevant").join(n, "qid")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -330,6 +446,7 @@ QUERIES = {
         bm25_indexed_top100, metrics_deep, excluded_then_united, tournament_listwise, hops_reranked, rewritten_ranked,
         retried_answers, labels_batched, failure_sweep, fingerprints, qrels_expanded, descriptive_qrels, unfenced_replies, balanced_replies, permutations, dated_paths,
         jsonl_read_back, commented_read_back, numbered_read_back, csv_read_back, qrels_read_back, run_read_back, months_read_back, document_read_back, vectors_read_back, ranked_results,
+        stripped_pages, parsed_pages, carried_authors, paged_listing, downloaded_pages, resumed_log, stored_stage, encoded_cached, flag_rate, run_summary, exclusions_read_back, pool_counts,
     )
 }
 
@@ -410,4 +527,16 @@ SQL = {
     "vectors_read_back": "select vec_id as did, len(embedding)::int as n, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total from embeddings",
     "ranked_results": f"with {bm25_ctes('lucene', 'lucene')}, {QRELS}, r as ({ranked('lucene', 1000)}) select qid, n_relevant, ranked from (select qid, sum((grade >= 1)::int)::bigint as n_relevant from gold group by qid) join (select qid, array_to_string(list(did::varchar order by rank), ',') as ranked from r where rank <= 10 group by qid) using (qid)",
     "failure_sweep": "with c as (select row_id, array_to_string(list_transform(list_filter(conversation, lambda m: trim(coalesce(m.content, '')) <> ''), lambda m: '[' || upper(left(trim(coalesce(m.role, 'unknown')), 1)) || lower(substr(trim(coalesce(m.role, 'unknown')), 2)) || ']: ' || trim(m.content)), chr(10) || chr(10)) as t from wild_conversations) select row_id, 'refusal' as mistake_type from c where contains(lower(left(case when length(t) > 400 then left(t, 400) else t end, 400)), 'sorry')",
+    "stripped_pages": "select doc_id, md5(coalesce(text, '') || 'var x;') as digest from documents",
+    "parsed_pages": "select speaker_id, trim(full_name) || ' page' as title, full_name as author, 0 as n_links from speakers where full_name is not null",
+    "carried_authors": "select hearing_id as page, speaker_id as pos, last_value(case when office = 'member' and regexp_full_match(split_part(full_name, ' ', -1) || '_' || split_part(full_name, ' ', 1), '[^_]+_[^_]+') then split_part(full_name, ' ', 1) || ' ' || split_part(full_name, ' ', -1) end ignore nulls) over (partition by hearing_id order by speaker_id rows unbounded preceding) as author from speakers where full_name is not null",
+    "paged_listing": "select case when n < 55 then 'a' else 'b' end as source, 'k' || n::varchar as id, n from (select unnest(range(90)) as n)",
+    "downloaded_pages": "select url, case when ends_with(url, '1.htm') then upper(replace(url, '1.htm', '1.txt')) when ends_with(url, '2.htm') then '' else upper(url) end as body, case when ends_with(url, '2.htm') then 'empty' else 'ok' end as status from (select hearing_id || '.htm' as url from hearings)",
+    "resumed_log": "select * from (select 1 as run, case when lang is null then 'failed' else 'ok' end as status, count(*) as n from documents group by all union all select 2, 'ok', count(*) from documents where lang is null having count(*) > 0)",
+    "stored_stage": "select 'first' as tag, 2 * count(*) as n from queries union all select 'third', count(*) from queries",
+    "encoded_cached": "select qid, length(coalesce(query_text, ''))::varchar || ',' || (length(coalesce(query_text, '')) - length(replace(coalesce(query_text, ''), 'e', '')))::varchar as vec from queries",
+    "flag_rate": "select round(avg(case when turn > 2 then 1.0 else 0.0 end), 6) as rate from wild_conversations",
+    "run_summary": f"with {RQ.METRICS}, {RQ.LONG} select 'bm25' as model, n_queries, metric, round(value, 4) as value from (select metric, count(*) as n_queries, avg(value) as value from long where metric in ('map', 'mrr', 'ndcg_10') group by metric)",
+    "exclusions_read_back": f"with {QRELS} select qid, did::varchar as did from gold where grade = 2",
+    "pool_counts": f"with {RQ.METRICS}, {STACKED.replace(bm25_ctes('lucene', 'lucene') + ',', '')} select qid, best_rank, n_relevant, n_candidates from m join (select qid, count(*) as n_candidates from candidates group by qid) using (qid)",
 }
