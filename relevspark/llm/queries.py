@@ -126,4 +126,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_scores": p8_scores,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs by shared runs of words, by plain counting.
+_PAIRS = r"""with r as (select 'documents' as tbl, doc_id as rec_id, coalesce(text, '') as text from documents where doc_id is not null
+union all select 'wild_conversations', row_id, coalesce(array_to_string(list_transform(conversation, lambda m: coalesce(m.content, '')), chr(10)), '') from wild_conversations where row_id is not null),
+w as (select tbl, rec_id, regexp_extract_all(lower(replace(text, 'İ', 'i̇')), '[\p{L}\p{N}_]+') as w from r),
+k as (select tbl, rec_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as runs from w where len(w) >= 50),
+e as materialized (select tbl, rec_id, unnest(list_transform(runs, lambda x: hash(x))) as run, len(runs) as n from k),
+c as (select a.tbl, a.rec_id as id_a, b.rec_id as id_b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.tbl = b.tbl and a.run = b.run and a.rec_id < b.rec_id group by a.tbl, a.rec_id, b.rec_id)
+select tbl, id_a, id_b from c where shared >= 0.6 * (na + nb - shared)"""
+#: Classes of equal texts, links between their first members, and what links hold together.
+_GROUPS = _PAIRS.replace("with r as", "with recursive r as").replace("\nselect tbl, id_a, id_b from c where", ",\np as materialized (select tbl, id_a, id_b from c where") + """),
+s as (select tbl, rec_id, min(rec_id) over same as class_id, count(*) over same as n_copies from w where len(w) >= 50 window same as (partition by tbl, array_to_string(w, ' '))),
+l as materialized (select p.* from p join s a on a.tbl = p.tbl and a.rec_id = p.id_a and a.class_id = a.rec_id join s b on b.tbl = p.tbl and b.rec_id = p.id_b and b.class_id = b.rec_id),
+d as materialized (select tbl, id_a as v, id_b as u from l union all select tbl, id_b, id_a from l),
+t as (select tbl, v, v as u from d union select t.tbl, t.v, d.u from t join d on d.tbl = t.tbl and d.v = t.u),
+g as (select tbl, v, min(u) as root from t group by tbl, v),
+n as (select tbl, v, count(*) as n_links from d group by tbl, v)
+select s.tbl, s.rec_id, s.class_id, s.n_copies, coalesce(g.root, s.class_id) as group_id, coalesce(n.n_links, 0) as n_links from s left join g on g.tbl = s.tbl and g.v = s.class_id left join n on n.tbl = s.tbl and n.v = s.class_id"""
+ORACLE_SQL: dict[str, str] = {"p4_found": _PAIRS, "p4_groups": _GROUPS}
