@@ -182,9 +182,10 @@ def cocluster_qrels(t: Tables):
 
 
 def theme_groups(t: Tables):
-    """Members of each group in order, the largest group first; prompts show the first three."""
-    g = _themes(t).groupBy("label").agg(F.sort_array(F.collect_list("member_id")).alias("m"))
-    return g.select("label", F.size("m").alias("n"), F.array_join(F.slice("m", 1, 3), ",").alias("first_members"))
+    """The size of each group and its first three members, as prompts show them; only these are gathered."""
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("member_id"))
+    first = _themes(t).withColumn("_n", nth).where(F.col("_n") <= 3).groupBy("label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "member_id"))), lambda x: x["member_id"]), ",").alias("first_members"))
+    return _themes(t).groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("n")).join(first, "label").select("label", "n", "first_members")
 
 
 def collapse_chain(t: Tables):
