@@ -42,6 +42,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
 
+def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Rounded inner products of rows; a block of null vectors alone has no width and scores 0."""
+    if q.shape[1] != d.shape[1]:
+        if q.shape[1] and d.shape[1]:
+            raise ValueError(f"vectors of {q.shape[1]} and {d.shape[1]} numbers")
+        return np.zeros((len(q), len(d)))
+    return np.round(q @ d.T, DIGITS)
+
+
 def _blocks(df: DataFrame, ids: list[str], vec: str, block: int, names: list[str], more: list[str] = ()) -> DataFrame:
     """Rows of ``df`` packed where they are: one row has the ids (and ``more``) of up to ``block`` rows and their vectors as one binary matrix."""
     kinds = {c: df.schema[c].dataType.simpleString() for c in (*ids, *more)}
@@ -64,7 +73,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, excluded: DataFram
     """``qid, did, score, rank``: the ``k`` nearest documents of each query by cosine, without excluded pairs, and without documents of the query's own ``unlike``.
 
     A stated set of queries against all rows, in blocks: vectors are packed into matrices where they lie, each block of documents meets each
-    block of queries once, and keeps its best ``k`` of every query; only these are ranked.  The pairs excluded of a query travel with it.
+    block of queries once, and keeps its best ``k`` of every query; only these are ranked.  The pairs excluded of a query travel with it.  Null vectors score 0;
+    ties go to the smaller id; a null ``unlike`` is like a null one; vectors of different widths are an error.
     """
     kind, did = queries.schema["qid"].dataType.simpleString(), corpus.schema["did"].dataType.simpleString()
     q = queries.select("qid", "vec", *([unlike] if unlike else []))
@@ -81,7 +91,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, excluded: DataFram
             for r in b.to_pylist():
                 dids, qids = r["dids"], r["qids"]
                 d, x = np.frombuffer(r["dm"]).reshape(len(dids), -1), np.frombuffer(r["qm"]).reshape(len(qids), -1)
-                s = np.round(x @ d.T, DIGITS)
+                s = _products(x, d)
                 ids = np.array(dids)
                 if unlike:
                     s[np.array(r["qtag"], object)[:, None] == np.array(r["dtag"], object)[None, :]] = -np.inf
@@ -133,7 +143,7 @@ def _maxsim(queries: DataFrame, corpus: DataFrame, k: int | None) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 (d, dn), (q, qn) = ((np.frombuffer(r[m]).reshape(sum(r[n]), -1), np.array(r[n])) for m, n in (("dm", "dn"), ("qm", "qn")))
-                s = np.round(q @ d.T, DIGITS)
+                s = _products(q, d)
                 s = np.maximum.reduceat(s, np.cumsum(dn) - dn, axis=1)
                 s = np.round(np.add.reduceat(s, np.cumsum(qn) - qn, axis=0), DIGITS)
                 ids = np.array(r["dids"])

@@ -106,3 +106,43 @@ def evaluate(run: DataFrame, qrels: DataFrame, groups: DataFrame | None = None)
         return per, M.means(long)
     by = [c for c in groups.columns if c != "qid"]
     return per, M.means(long.join(groups, "qid", "left").fillna("unknown", by), by)
+
+
+def guided_hops(queries: DataFrame, docs: DataFrame, client: Callable[[str], str], cache: str, hops: int = 3, per_hop: int = 5, most_chars: int = 400) -> DataFrame:
+    """Multi-hop search that a model guides: ``qid, did, rank, hop, selected`` for ``queries`` (qid, query_text) over ``docs`` (did, text).
+
+    After each hop the client sees the query and its new candidates, numbered, and answers ``{"ids": [...], "notes": "..."}``; a reply that cannot be read
+    selects all.  From the query and the notes so far it then writes the next search; an empty or failed one leaves the search as it was.
+    Texts in prompts are cut to ``most_chars`` characters, as the prompt's format asks.  All queries take a hop together; answers are cached under ``cache``.
+    """
+    from relevspark.operators import hops as H
+    from relevspark.operators import lexical as L
+    from relevspark.runtime import cut
+
+    tokens = L.tokens(docs, "did", "text", "did")
+    start = queries.select("qid", "query_text", F.coalesce("query_text", F.lit("")).alias("search"), F.lit("").alias("notes"))
+    told: dict[int, DataFrame] = {}
+
+    def search(state: DataFrame, _) -> DataFrame:
+        return L.bm25(L.tokens(state, "qid", "search", "qid"), tokens)
+
+    def select(found: DataFrame, hop: int) -> DataFrame:
+        found = cut(found)
+        shown = found.join(docs.select("did", F.left(F.coalesce("text", F.lit("")), F.lit(most_chars)).alias("_t")), "did")
+        lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_t"))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["_t"])), "\n")
+        asked = shown.groupBy("qid").agg(lines.alias("_l")).join(queries.select("qid", "query_text"), "qid").withColumn("prompt", F.concat(F.lit("Select: "), F.coalesce("query_text", F.lit("")), F.lit("\n"), "_l"))
+        said = N.run_cached(asked, "prompt", client, f"{cache}/select", "ids array<int>, notes string", tries=1)
+        told[hop] = cut(said.select("qid", F.col("parsed.ids").alias("_ids"), F.coalesce("parsed.notes", F.lit("")).alias("_notes")))
+        marked = found.join(told[hop], "qid", "left")
+        return marked.withColumn("selected", F.coalesce(F.array_contains("_ids", F.col("rank").cast("int")), F.lit(True)))
+
+    def next_query(state: DataFrame, found: DataFrame, hop: int) -> DataFrame:
+        noted = state.join(told[hop].select("qid", "_notes"), "qid", "left").withColumn("notes", F.concat_ws("\n", F.nullif("notes", F.lit("")), F.nullif("_notes", F.lit(""))))
+        asked = noted.withColumn("prompt", F.concat(F.lit(f"Search {hop + 1}: "), F.coalesce("query_text", F.lit("")), F.lit("\n"), "notes"))
+        said = N.run_cached(asked, "prompt", client, f"{cache}/search", tries=1)
+        return cut(said.select("qid", "query_text", F.coalesce(F.when(F.col("status") == "ok", F.col("reply")), F.col("search")).alias("search"), "notes"))
+
+    def original(pairs: DataFrame) -> DataFrame:
+        return L.bm25(L.tokens(start, "qid", "search", "qid"), tokens).join(pairs, ["qid", "did"], "left_semi")
+
+    return H.multi_hop(start, search, select, next_query, original, hops=hops, per_hop=per_hop)

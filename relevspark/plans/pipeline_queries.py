@@ -411,6 +411,29 @@ def encoded_cached(t: Tables):
     return encode_cached(q, "qid", "query_text", lambda texts, task: np.zeros((len(texts), 2), np.float32), path, "query").select("qid", F.array_join(F.transform("vec", lambda x: x.cast("int").cast("string")), ",").alias("vec"))
 
 
+def guided_hops(t: Tables):
+    """Two hops that a client guides: it selects even numbers and searches on with its notes."""
+
+    def rule(prompt: str) -> str:
+        if prompt.startswith("Select: "):
+            numbers = [int(x[1 : x.index("]")]) for x in prompt.split("\n") if x.startswith("[") and "]" in x and x[1 : x.index("]")].isdigit()]
+            return json.dumps({"ids": [n for n in numbers if n % 2 == 0], "notes": "harbor treaty"})
+        return prompt.split(": ", 1)[1].replace("\n", " ")
+
+    docs = t("documents").select(F.col("doc_id").alias("did"), "text")
+    return B.guided_hops(t("queries").select("qid", "query_text"), docs, N.Deterministic(rule), _place(t, "hops"), hops=2, per_hop=4)
+
+
+def migrated_log(t: Tables):
+    """A log of speakers whose hearing stands for an old key; one of two rows is there under the new key already."""
+    from relevspark.streaming.resume import migrate_keys
+
+    log = t("hearings").select(F.col("hearing_id").alias("key"), F.lit(0).alias("v")).unionByName(t("speakers").where("speaker_id % 2 = 0").select(F.col("speaker_id").cast("string").alias("key"), F.lit(1).alias("v")))
+    names = t("hearings").select(F.col("hearing_id").alias("old"), F.lit("n-").alias("_p")).select("old", F.concat("_p", "old").alias("new"))
+    names = names.unionByName(t("speakers").where("speaker_id % 4 = 0").select(F.col("speaker_id").cast("string").alias("old"), (F.col("speaker_id") + 2).cast("string").alias("new")))
+    return migrate_keys(log, names, "key")
+
+
 def flag_rate(t: Tables):
     """The share of conversations of more than two turns."""
     from relevspark.operators.stats import rate
@@ -446,7 +469,7 @@ QUERIES = {
         bm25_indexed_top100, metrics_deep, excluded_then_united, tournament_listwise, hops_reranked, rewritten_ranked,
         retried_answers, labels_batched, failure_sweep, fingerprints, qrels_expanded, descriptive_qrels, unfenced_replies, balanced_replies, permutations, dated_paths,
         jsonl_read_back, commented_read_back, numbered_read_back, csv_read_back, qrels_read_back, run_read_back, months_read_back, document_read_back, vectors_read_back, ranked_results,
-        stripped_pages, parsed_pages, carried_authors, paged_listing, downloaded_pages, resumed_log, stored_stage, encoded_cached, flag_rate, run_summary, exclusions_read_back, pool_counts,
+        stripped_pages, parsed_pages, carried_authors, paged_listing, downloaded_pages, resumed_log, stored_stage, encoded_cached, guided_hops, migrated_log, flag_rate, run_summary, exclusions_read_back, pool_counts,
     )
 }
 
@@ -535,6 +558,7 @@ SQL = {
     "resumed_log": "select * from (select 1 as run, case when lang is null then 'failed' else 'ok' end as status, count(*) as n from documents group by all union all select 2, 'ok', count(*) from documents where lang is null having count(*) > 0)",
     "stored_stage": "select 'first' as tag, 2 * count(*) as n from queries union all select 'third', count(*) from queries",
     "encoded_cached": "select qid, length(coalesce(query_text, ''))::varchar || ',' || (length(coalesce(query_text, '')) - length(replace(coalesce(query_text, ''), 'e', '')))::varchar as vec from queries",
+    "migrated_log": "with log as (select hearing_id as key, 0 as v from hearings union all select speaker_id::varchar, 1 from speakers where speaker_id % 2 = 0), names as (select hearing_id as old, 'n-' || hearing_id as new from hearings union all select speaker_id::varchar, (speaker_id + 2)::varchar from speakers where speaker_id % 4 = 0), kept as (select key, v from log where key not in (select old from names)) select * from kept union all select new, v from log join names on old = key where new not in (select key from kept)",
     "flag_rate": "select round(avg(case when turn > 2 then 1.0 else 0.0 end), 6) as rate from wild_conversations",
     "run_summary": f"with {RQ.METRICS}, {RQ.LONG} select 'bm25' as model, n_queries, metric, round(value, 4) as value from (select metric, count(*) as n_queries, avg(value) as value from long where metric in ('map', 'mrr', 'ndcg_10') group by metric)",
     "exclusions_read_back": f"with {QRELS} select qid, did::varchar as did from gold where grade = 2",

@@ -57,3 +57,11 @@ def process(items: DataFrame, path: str, keys: list[str], work: Callable[[DataFr
     spark = items.sparkSession
     append(work(todo(items, read_or_none(spark, path), keys)), path)
     return spark.read.parquet(path)
+
+
+def migrate_keys(log: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """A log whose rows under old keys stand under their new ones: ``names`` is ``old, new``; keys it lacks stay, and a row that is there under the new key already holds."""
+    renamed = log.join(names.select(F.col("old").alias(key), "new").dropDuplicates([key]), key, "left").withColumn("_moved", F.col("new").isNotNull()).withColumn(key, F.coalesce("new", key)).drop("new")
+    kept = renamed.where(~F.col("_moved"))
+    moved = renamed.where("_moved").join(kept.select(key).distinct(), key, "left_anti")
+    return kept.unionByName(moved).select(*log.columns)
